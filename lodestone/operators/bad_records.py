@@ -78,7 +78,9 @@ def with_fields(df: DataFrame, line: str) -> DataFrame:
         F.split(joined, F.lit(","), -1),
         lambda x: F.replace(F.replace(F.replace(x, F.lit("\\1"), F.lit(",")), F.lit("\\2"), F.lit('"')), F.lit("\\0"), F.lit("\\")),
     )
-    return df.withColumn("_quoted_ok", (last % 2 == 0) & ~fails).withColumn("_fields", fields).drop("_pieces")
+    # The generator is a barrier: the checks below read the fields and don't compute them again each.
+    parsed = F.inline(F.array(F.struct(((last % 2 == 0) & ~fails).alias("_quoted_ok"), fields.alias("_fields"))))
+    return df.select("*", parsed).drop("_pieces")
 
 
 def _valid(rule: FieldRule, value: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.session import cut, filled, load
+from lodestone.session import cut, cut_counting, filled, load
 
 #: Parts in which the children of one parent are numbered.
 SIBLING_SALT = 64
@@ -70,13 +70,11 @@ def _resolve(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = nodes.select(
         "name", "parent", F.col("parent").alias("ptr"), F.when(top, F.lit(0)).alias("depth"), F.when(top, F.col("name")).alias("root"), F.lit(1).cast("long").alias("size")
     )
-    state, before, k = cut(state), -1, 0
-    while True:
-        open_ = state.where("ptr is not null").count()
-        # A name of depth 2^k or more has an ancestor that the round before resolved, so a round without gain is the last.
-        if open_ in (0, before):
-            break
-        state, before, k = cut(_double(state, k)), open_, k + 1
+    far = F.col("ptr").isNotNull()
+    (state, open_), before, k = cut_counting(state, far), -1, 0
+    # A name of depth 2^k or more has an ancestor that the round before resolved, so a round without gain is the last.
+    while open_ not in (0, before):
+        (state, open_), before, k = cut_counting(_double(state, k), far), open_, k + 1
     return state.where("root is not null").drop("ptr"), state.where("root is null").select("name", "ptr")
 
 
@@ -85,14 +83,14 @@ def on_cycle(open_: DataFrame) -> DataFrame:
 
     The images of the pointer shrink from round to round to the cycles, on which it is one to one.
     """
-    state, before = cut(open_), -1
-    while True:
-        images = state.select(F.col("ptr").alias("name")).distinct()
-        n = images.count()
-        if n in (0, before):
-            return images
+    state, n = cut_counting(open_)
+    before = -1
+    while n not in (0, before):
+        image = state.select(F.col("ptr").alias("name")).distinct()
         up = state.select(F.col("name").alias("ptr"), F.col("ptr").alias("_ptr"))
-        state, before = cut(state.join(up, "ptr").select("name", F.col("_ptr").alias("ptr"))), n
+        twice = state.join(image, "name", "left_semi").join(up, "ptr").select("name", F.col("_ptr").alias("ptr"))
+        (state, n), before = cut_counting(twice), n
+    return state.select("name")
 
 
 def _chains(tree: DataFrame) -> DataFrame:
@@ -102,10 +100,11 @@ def _chains(tree: DataFrame) -> DataFrame:
     tree = tree.join(best.select(F.col("_n").alias("name"), F.lit(True).alias("_goes_on")), "name", "left")
     tree = tree.join(best.select(F.col("_p").alias("name"), "heavy"), "name", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
     goes_on = F.col("_goes_on").isNotNull()
-    state = cut(tree.select("name", F.when(goes_on, F.col("parent")).alias("ptr"), F.when(~goes_on, F.col("name")).alias("head")))
-    while state.where("ptr is not null").limit(1).count():
+    far = F.col("ptr").isNotNull()
+    state, open_ = cut_counting(tree.select("name", F.when(goes_on, F.col("parent")).alias("ptr"), F.when(~goes_on, F.col("name")).alias("head")), far)
+    while open_:
         up = state.select(F.col("name").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("head").alias("_head"))
-        state = cut(state.join(up, "ptr", "left").select("name", F.col("_ptr").alias("ptr"), F.coalesce("head", "_head").alias("head")))
+        state, open_ = cut_counting(state.join(up, "ptr", "left").select("name", F.col("_ptr").alias("ptr"), F.coalesce("head", "_head").alias("head")), far)
     return tree.drop("_goes_on").join(state.select("name", "head"), "name")
 
 
@@ -137,21 +136,17 @@ def hierarchy(links: DataFrame) -> DataFrame:
     heads = tree.where(F.col("head") == F.col("name")).select("head", "parent")
     chains = cut(chains.join(heads, "head").join(offsets, "head", "left"))
     now = chains.where("parent is null").select("head", "root", "names", F.array().cast("array<string>").alias("above"), F.lit(0).cast("long").alias("start"))
-    done, rest = [], chains.where("parent is not null")
-    while True:
+    done, rest, n = [], chains.where("parent is not null"), 1
+    while n:
         segment = F.transform("names", lambda x: x["name"])
         laid = now.select("head", "root", "above", "start", segment.alias("_segment"), F.posexplode("names").alias("pos", "x"))
-        laid = cut(
-            laid.select(
-                F.col("x.name").alias("object"), "root", F.col("x.depth").alias("depth"), F.concat("above", F.slice("_segment", F.lit(1), F.col("pos") + 1)).alias("path"),
-                (F.col("x.size") - 1).alias("n_descendants"), (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + F.col("x.size") - 1).alias("last"), F.col("head").alias("chain"), F.col("x.heavy").alias("_heavy"),
-            )
+        laid = laid.select(
+            F.col("x.name").alias("object"), "root", F.col("x.depth").alias("depth"), F.concat("above", F.slice("_segment", F.lit(1), F.col("pos") + 1)).alias("path"),
+            (F.col("x.size") - 1).alias("n_descendants"), (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + F.col("x.size") - 1).alias("last"), F.col("head").alias("chain"), F.col("x.heavy").alias("_heavy"),
         )
         done.append(laid.drop("_heavy"))
         hook = laid.select(F.col("object").alias("parent"), F.col("path").alias("above"), (F.col("first") + 1 + F.col("_heavy")).alias("_from"))
-        now = cut(rest.join(hook, "parent").select("head", "root", "names", "above", (F.col("_from") + F.col("before")).alias("start")))
-        if not now.limit(1).count():
-            break
+        now, n = cut_counting(rest.join(hook, "parent").select("head", "root", "names", "above", (F.col("_from") + F.col("before")).alias("start")))
     cycle = on_cycle(open_).withColumn("_cyclic", F.lit(True))
     none = lambda t: F.lit(None).cast(t)
     apart = open_.join(cycle, "name", "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` with the number of rows (that meet the condition), counted in the same job."""
+    seen = Observation()
+    condition = F.lit(True) if condition is None else condition
+    kept = cut(df.observe(seen, F.coalesce(F.count_if(condition), F.lit(0)).alias("n")))
+    return kept, seen.get["n"]
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
