@@ -46,21 +46,20 @@ def forest(links: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min("parent").alias("parent"))
 
 
-def _double(state: DataFrame, k: int) -> DataFrame:
+def _double(state: DataFrame) -> DataFrame:
     """One round: pointers twice as far; depth and root of the names that reach a root.
 
-    state: (name, parent, ptr, depth, root, size). ptr is the ancestor 2^k up, NULL
-    once the root is known; size counts the descendants less than 2^k below, and the
-    name itself.
+    state: (name, parent, ptr, far, depth, root, size). ptr is the ancestor ``far`` up,
+    NULL once the root is known; size counts the descendants less than ``far`` below,
+    and the name itself. ``far`` is a column, so all rounds share their compiled code.
     """
     up = state.select(F.col("name").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
     gain = state.where("ptr is not null").groupBy(F.col("ptr").alias("name")).agg(F.sum("size").alias("_gain"))
     joined = state.join(up, "ptr", "left").join(gain, "name", "left")
+    known = F.col("ptr").isNull()
     return joined.select(
-        "name", "parent", F.when(F.col("ptr").isNotNull(), F.col("_ptr")).alias("ptr"),
-        F.when(F.col("ptr").isNull(), F.col("depth")).otherwise(F.col("_depth") + F.lit(1 << k)).alias("depth"),
-        F.when(F.col("ptr").isNull(), F.col("root")).otherwise(F.col("_root")).alias("root"),
-        (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size"),
+        "name", "parent", F.when(~known, F.col("_ptr")).alias("ptr"), (F.col("far") * 2).alias("far"), F.when(known, F.col("depth")).otherwise(F.col("_depth") + F.col("far")).alias("depth"),
+        F.when(known, F.col("root")).otherwise(F.col("_root")).alias("root"), (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size"),
     )
 
 
@@ -68,14 +67,14 @@ def _resolve(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((name, parent, depth, root, size) of names with a root, (name, ptr) of the others)."""
     top = F.col("parent").isNull()
     state = nodes.select(
-        "name", "parent", F.col("parent").alias("ptr"), F.when(top, F.lit(0)).alias("depth"), F.when(top, F.col("name")).alias("root"), F.lit(1).cast("long").alias("size")
+        "name", "parent", F.col("parent").alias("ptr"), F.lit(1).alias("far"), F.when(top, F.lit(0)).alias("depth"), F.when(top, F.col("name")).alias("root"), F.lit(1).cast("long").alias("size")
     )
     far = F.col("ptr").isNotNull()
-    (state, open_), before, k = cut_counting(state, far), -1, 0
-    # A name of depth 2^k or more has an ancestor that the round before resolved, so a round without gain is the last.
+    (state, open_), before = cut_counting(state, far), -1
+    # A name as deep as the pointers reach has an ancestor that the round before resolved, so a round without gain is the last.
     while open_ not in (0, before):
-        (state, open_), before, k = cut_counting(_double(state, k), far), open_, k + 1
-    return state.where("root is not null").drop("ptr"), state.where("root is null").select("name", "ptr")
+        (state, open_), before = cut_counting(_double(state), far), open_
+    return state.where("root is not null").drop("ptr", "far"), state.where("root is null").select("name", "ptr")
 
 
 def on_cycle(open_: DataFrame) -> DataFrame:

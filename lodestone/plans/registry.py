@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import data_quality, graphs, relational
+from lodestone.plans import data_quality, graphs, relational, schemas
 
-_MODULES = (data_quality, graphs, relational)
+_MODULES = (data_quality, graphs, relational, schemas)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
