@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_counting
+from lodestone.session import cut, cut_counting
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def closure(edges: DataFrame, seeds: DataFrame, algebra: Algebra | None = None,
     are harmless; empty inputs give an empty result (or just the seeds).
     """
     algebra = algebra or boolean()
-    relation = from_edges(edges.where("src is not null and dst is not null"), algebra)
+    relation = cut(from_edges(edges.where("src is not null and dst is not null"), algebra))
     start = seeds.where("seed is not null").select("seed").distinct()
     delta, n = cut_counting(start.select("seed", F.col("seed").alias("node"), algebra.one.alias("label")))
     known = delta if zero_hops else None
@@ -111,7 +111,7 @@ def _merge(known: DataFrame, delta: DataFrame, algebra: Algebra) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, zero_hops: bool = True, max_rounds: int | None = None) -> DataFrame:
     """(seed, node, hops) breadth first: a label once found is the least, so rounds only add rows."""
-    arcs = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    arcs = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     start = seeds.where("seed is not null").select("seed").distinct()
     delta, n = cut_counting(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")))
     found: list[DataFrame] = [delta] if zero_hops else []
@@ -127,10 +127,29 @@ def reach(edges: DataFrame, seeds: DataFrame, zero_hops: bool = True, max_rounds
     return reduce(DataFrame.unionByName, found) if found else delta
 
 
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """(seed, node, hops) from every node that has an edge, by squaring: as many rounds as the longest shortest way has binary digits.
+
+    A node reaches itself only over a cycle. For all seeds at once; for a few, ``reach``
+    does less work.
+    """
+    one = edges.where("src is not null and dst is not null").select(F.col("src").alias("seed"), F.col("dst").alias("node")).distinct()
+    known, n = cut_counting(one.withColumn("hops", F.lit(1)))
+    grown = n > 0
+    while grown:
+        right = known.select(F.col("seed").alias("node"), F.col("node").alias("_end"), F.col("hops").alias("_hops"))
+        longer = known.join(right, "node").select("seed", F.col("_end").alias("node"), (F.col("hops") + F.col("_hops")).alias("hops"), F.lit(0).alias("_old"))
+        both = longer.union(known.select("seed", "node", "hops", F.lit(1).alias("_old"))).groupBy("seed", "node")
+        merged = both.agg(F.min("hops").alias("hops"), F.min(F.when(F.col("_old") == 1, F.col("hops"))).alias("_had"))
+        known, better = cut_counting(merged, F.col("_had").isNull() | (F.col("hops") < F.col("_had")))
+        known, grown = known.select("seed", "node", "hops"), better > 0
+    return known
+
+
 def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node) that any seed reaches, seeds included: no seed column, so the state is at most one row per node."""
     together = seeds.select(F.lit(0).alias("seed"), F.col("seed").alias("node")).where("node is not null").distinct()
-    arcs = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    arcs = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     delta, n = cut_counting(together.select("node"))
     found = [delta]
     while n:

@@ -35,7 +35,8 @@ def descendants(links: DataFrame, name: str) -> DataFrame:
 
 def impact(links: DataFrame, direct: DataFrame, depth: int = 15) -> DataFrame:
     """(descendant, via, depth): what inherits from each of ``direct`` (via) within ``depth`` steps, with the least depth."""
-    found = fixpoint.reach(_edges(links, "parent", "child"), direct.select(F.col("via").alias("seed")), zero_hops=False, max_rounds=depth)
+    found = fixpoint.all_pairs(_edges(links, "parent", "child")).where(F.col("hops") <= depth)
+    found = found.join(direct.select(F.col("via").alias("seed")).distinct(), "seed", "left_semi")
     return found.select(F.col("node").alias("descendant"), F.col("seed").alias("via"), F.col("hops").alias("depth"))
 
 
@@ -119,7 +120,8 @@ def dit(links: DataFrame) -> DataFrame:
     """(name, dit): the greatest over all roots of the least number of steps from the root. links: (child, parent)."""
     edges = _edges(links, "parent", "child")
     roots = edges.select(F.col("src").alias("seed")).distinct().join(edges.select(F.col("dst").alias("seed")), "seed", "left_anti")
-    return fixpoint.reach(edges, roots).groupBy(F.col("node").alias("name")).agg(F.max("hops").alias("dit"))
+    below = fixpoint.all_pairs(edges).join(roots, "seed", "left_semi").select(F.col("node").alias("name"), "hops")
+    return below.union(roots.select("seed", F.lit(0))).groupBy("name").agg(F.max("hops").alias("dit"))
 
 
 def last_segment(name: Column) -> Column:
@@ -142,8 +144,7 @@ def call_edges(procs: DataFrame, calls: DataFrame) -> DataFrame:
 
 def override_edges(procs: DataFrame, links: DataFrame) -> DataFrame:
     """(src, dst): a parent's method to the same method of each of its descendants."""
-    edges = _edges(links, "child", "parent")
-    up = fixpoint.reach(edges, edges.select(F.col("src").alias("seed")), zero_hops=False).select(F.col("seed").alias("child"), F.col("node").alias("parent"))
+    up = fixpoint.all_pairs(_edges(links, "child", "parent")).select(F.col("seed").alias("child"), F.col("node").alias("parent"))
     methods = procs.select("object", "proc_name").distinct()
     both = up.join(methods.withColumnRenamed("object", "parent"), "parent").join(methods.withColumnRenamed("object", "child"), ["child", "proc_name"])
     return both.select(_node("parent", "proc_name").alias("src"), _node("child", "proc_name").alias("dst"))
@@ -187,8 +188,8 @@ def live_procs(statements: DataFrame, dead: DataFrame) -> DataFrame:
 def reaches(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(x, y, hops): y is downstream of x; a node reaches itself only over a cycle."""
     arcs = _edges(edges, "src", "dst")
-    start = arcs.select(F.col("src").alias("seed")) if seeds is None else seeds
-    return fixpoint.reach(arcs, start, zero_hops=False).select(F.col("seed").alias("x"), F.col("node").alias("y"), "hops")
+    found = fixpoint.all_pairs(arcs) if seeds is None else fixpoint.reach(arcs, seeds, zero_hops=False)
+    return found.select(F.col("seed").alias("x"), F.col("node").alias("y"), "hops")
 
 
 def risk_count(closure: DataFrame) -> DataFrame:

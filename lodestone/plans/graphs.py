@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import fixpoint, graph, hierarchy
-from lodestone.session import filled, load, norm
+from lodestone.session import cut, filled, load, norm
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -128,10 +128,10 @@ def schema_legs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reach_closure(spark: SparkSession, d: str) -> DataFrame:
-    """What is downstream of each column that a statement reads: all pairs within four legs of the data flow."""
+    """What is downstream of each column that a statement reads: all pairs, with the least number of legs."""
     legs = _legs(spark, d)
     columns = legs.where("src like 'col:%'").select(F.col("src").alias("seed"))
-    return fixpoint.reach(legs, columns, zero_hops=False, max_rounds=4).select(F.col("seed").alias("x"), F.col("node").alias("y"), "hops")
+    return fixpoint.reach(legs, columns, zero_hops=False).select(F.col("seed").alias("x"), F.col("node").alias("y"), "hops")
 
 
 def risk_count(spark: SparkSession, d: str) -> DataFrame:
@@ -140,20 +140,21 @@ def risk_count(spark: SparkSession, d: str) -> DataFrame:
     return graph.risk_count(graph.reaches(links.select(F.col("parent").alias("src"), F.col("child").alias("dst"))))
 
 
+def _coslice(spark: SparkSession, d: str) -> DataFrame:
+    legs = cut(_legs(spark, d))
+    ends = legs.select(F.col("src").alias("node")).union(legs.select("dst")).distinct()
+    return graph.coslice(legs, ends.where("node like 'col:%'").select(F.col("node").alias("seed")), ends.where("node like 'stmt:%'"))
+
+
 def coslice_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Per seed class, target and direction, the number of legs of the shortest way in the inheritance graph."""
-    links = _links(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("inherits").alias("kind"), F.lit("objects").alias("source"))
-    roots = links.select(F.col("dst").alias("seed")).distinct()
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    return graph.coslice(links, roots, nodes).groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n_legs"), F.min("leg_ordinal").alias("first"), F.max("leg_ordinal").alias("last"))
+    """Per column, statement and direction, the number of legs of the shortest way in the schema graph."""
+    legs = _coslice(spark, d)
+    return legs.groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n_legs"), F.min("leg_ordinal").alias("first"), F.max("leg_ordinal").alias("last"))
 
 
 def coslice_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The legs of the way chosen to each target of the inheritance graph over all seeds."""
-    links = _links(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("inherits").alias("kind"), F.lit("objects").alias("source"))
-    std = load(spark, d, "stdlib_members").select(norm("object").alias("seed")).distinct()
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    return graph.path_choice(graph.coslice(links, std, nodes))
+    """The legs of the way chosen to each statement over all columns."""
+    return graph.path_choice(_coslice(spark, d))
 
 
 def implied_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -167,11 +168,10 @@ def implied_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_hops(spark: SparkSession, d: str) -> DataFrame:
-    """The least sum of weights from each built-in class down the hierarchy, an edge weighing the length of the child's name."""
-    links = _links(spark, d)
-    edges = links.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.length("child").cast("double").alias("label"))
-    std = load(spark, d, "stdlib_members").select(norm("object").alias("seed"))
-    return fixpoint.closure(edges, std, fixpoint.min_plus()).select("seed", "node", F.col("label").cast("long").alias("cost"))
+    """The least sum of weights from each column to what is downstream of it, a leg weighing the length of its end's key."""
+    edges = _legs(spark, d).select("src", "dst", F.length("dst").cast("double").alias("label"))
+    columns = edges.where("src like 'col:%'").select(F.col("src").alias("seed"))
+    return fixpoint.closure(edges, columns, fixpoint.min_plus()).select("seed", "node", F.col("label").cast("long").alias("cost"))
 
 
 def effect_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +205,7 @@ _LINKS = """
 links0 as (select lower(trim(object)) c, nullif(lower(trim(ancestor)), '') p from objects union all select lower(trim(child)), nullif(lower(trim(parent)), '') from type_ancestors union all select lower(trim(object)), lower(trim(ancestor)) from stdlib_members),
 links as (select c as child, min(p) as parent from links0 where c <> '' and p is not null group by 1)
 """
-_UP = _LINKS + ", up as (select child, parent, 1 as depth from links union select up.child, l.parent, depth + 1 from up join links l on l.child = up.parent where depth < 60)"
+_UP = _LINKS + ", up as (select child, parent, 1 as depth from links union select up.child, l.parent, depth + 1 from up join links l on l.child = up.parent where depth < 1000)"
 _UPMIN = _UP + ", anc as (select child, parent, min(depth) depth from up group by 1, 2)"
 _PROCS = """
 procs1 as (select lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, proc_type, cyclomatic, confidence from procs where confidence <> 'speculative'),
@@ -253,16 +253,14 @@ ORACLE = {
     "live_procs": f"with recursive {_DEAD}, st as (select distinct file, lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, line from sql_statement_columns) select object, proc_name, count(*) as n from st where not exists (select 1 from dead where dead.object = st.object and dead.proc_name = st.proc_name) group by 1, 2",
     "override_pairs": f"with recursive {_UPMIN}, {_PROCS}, m as (select distinct object, proc_name from procs1) select a.parent, a.child, p.proc_name from anc a join m p on p.object = a.parent join m c on c.object = a.child and c.proc_name = p.proc_name",
     "schema_legs": f"with {_LEGS} select src, dst, kind, source from legs",
-    "reach_closure": f"with recursive {_LEGS}, w as (select src as x, dst as y, 1 as h from legs where src like 'col:%' union select x, dst, h + 1 from w join legs on src = y where h < 4) select x, y, min(h)::int as hops from w group by 1, 2",
+    "reach_closure": f"with recursive {_LEGS}, w as (select src as x, dst as y, 1 as h from legs where src like 'col:%' union select x, dst, h + 1 from w join legs on src = y where h < 40) select x, y, min(h)::int as hops from w group by 1, 2",
     "risk_count": f"with recursive {_UPMIN} select parent as x, count(*) as n from anc group by 1",
-    "coslice_lengths": f"""with recursive {_UPMIN}, seeds as (select distinct parent as s from links)
-      select child as seed_key, parent as target_key, 'forward' as direction, depth::bigint as n_legs, 0 as first, (depth - 1)::int as last from anc where child in (select s from seeds) and child <> parent
-      union all select parent, child, 'backward', depth::bigint, 0, (depth - 1)::int from anc where child <> parent""",
+    "coslice_lengths": f"""with recursive {_LEGS}, fw as (select src as x, dst as y, 1 as h from legs where src like 'col:%' union select x, dst, h + 1 from fw join legs on src = y where h < 40), bw as (select dst as x, src as y, 1 as h from legs where dst like 'col:%' union select x, src, h + 1 from bw join legs on dst = y where h < 40),
+      w as (select 'forward' d, x, y, min(h) h from fw where y like 'stmt:%' group by all union all select 'backward', x, y, min(h) from bw where y like 'stmt:%' group by all) select x as seed_key, y as target_key, d as direction, h::bigint as n_legs, 0 as first, (h - 1)::int as last from w""",
     "implied_keys": """with j as (select distinct c_nationkey x, s_nationkey y from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
       f as (select a.n_nationkey x, b.n_nationkey y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey)
       select x, y from j where not exists (select 1 from f where f.x = j.x and f.y = j.y) and not exists (select 1 from f where f.x = j.y and f.y = j.x)""",
-    "weighted_hops": f"""with recursive {_LINKS}, std as (select distinct lower(trim(object)) s from stdlib_members),
-      w as (select s as seed, s as node, 0::bigint as cost from std union all select seed, child, cost + length(child) from w join links on parent = node) select seed, node, min(cost)::bigint as cost from w group by 1, 2""",
+    "weighted_hops": f"""with recursive {_LEGS}, w as (select src as seed, src as node, 0::bigint as cost from legs where src like 'col:%' union select seed, dst, cost + length(dst) from w join legs on src = node where cost < 900) select seed, node, min(cost)::bigint as cost from w group by 1, 2""",
     "effect_closure": f"with recursive {_UPMIN}, {_PROCS}, direct as (select distinct object, call_type from calls1), a as (select object, call_type from direct union select parent, call_type from anc join direct on object = child) select object, string_agg(call_type, ',' order by call_type) as effects from a group by 1",
     "fan_in": f"with {_PROCS}, g as (select count(*) n from calls1 group by target_object, target_proc) select sum(n)::bigint as total_rows, count(*) as n_keys, max(n) as max_group, count(*) filter (n > 500) as n_hot from g",
 }

@@ -45,38 +45,36 @@ def elements(text: str) -> Iterator[tuple[str, dict[str, str]]]:
             last = m.group().rsplit(";", 1)[-1]
 
 
+def _closing(parts: list[re.Match], i: int) -> int:
+    """The place of the bracket that closes the one at i."""
+    depth = 0
+    for j in range(i, len(parts)):
+        depth += (parts[j].group() == "(") - (parts[j].group() == ")")
+        if depth == 0:
+            return j
+    return len(parts) - 1
+
+
 def properties(body: str) -> dict[str, str]:
     """name -> value of an element; a repeated name keeps its values, separated by a unit separator."""
     out: dict[str, str] = {}
     parts = [m for m in _PART.finditer(body) if m.lastgroup]
     i = 0
-    while i + 2 < len(parts) + 1:
-        if i + 2 <= len(parts) - 1 + 1 and i + 1 < len(parts) and parts[i].lastgroup == "word" and parts[i + 1].group() == "=" and i + 2 < len(parts):
-            key, v = parts[i].group().lower(), parts[i + 2]
-            if v.group() == "(":
-                depth, j = 0, i + 2
-                while j < len(parts):
-                    depth += (parts[j].group() == "(") - (parts[j].group() == ")")
-                    if depth == 0:
-                        break
-                    j += 1
-                value = body[v.end() : parts[min(j, len(parts) - 1)].start()]
-                i = j + 1
-            else:
-                value = unescape(v.group()[1:-1]) if v.lastgroup == "string" else v.group()
-                i += 3
-                if i < len(parts) and parts[i].group() == "(":
-                    depth, j = 0, i
-                    while j < len(parts):
-                        depth += (parts[j].group() == "(") - (parts[j].group() == ")")
-                        if depth == 0:
-                            break
-                        j += 1
-                    value += body[parts[i].start() : parts[min(j, len(parts) - 1)].end()]
-                    i = j + 1
-            out[key] = f"{out[key]}\x1f{value}" if key in out else value
-        else:
+    while i + 2 < len(parts):
+        key, equals, v = parts[i], parts[i + 1], parts[i + 2]
+        if key.lastgroup != "word" or equals.group() != "=":
             i += 1
+            continue
+        if v.group() == "(":
+            end = _closing(parts, i + 2)
+            value, i = body[v.end() : parts[end].start()], end + 1
+        else:
+            value, i = unescape(v.group()[1:-1]) if v.lastgroup == "string" else v.group(), i + 3
+            if i < len(parts) and parts[i].group() == "(":
+                end = _closing(parts, i)
+                value, i = value + body[parts[i].start() : parts[end].end()], end + 1
+        name = key.group().lower()
+        out[name] = f"{out[name]}\x1f{value}" if name in out else value
     return out
 
 
@@ -101,7 +99,7 @@ def retrieve(text: str) -> Retrieve:
         return Retrieve(raw=text)
     out = Retrieve()
     for name, inside in blocks(unescape(text[m.end() :])):
-        p = {k.upper(): next(x for x in v if x is not None and x != "" or x == v[-1]) for k, *v in _PAIR.findall(inside)}
+        p = {k.upper(): "".join(v) for k, *v in _PAIR.findall(inside)}
         if name == "TABLE":
             out.tables.append(p.get("NAME", ""))
         elif name == "COLUMN":
