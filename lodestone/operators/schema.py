@@ -120,7 +120,8 @@ def clusters(touches: DataFrame) -> DataFrame:
         known = pdf[pdf.col_b.notna()]
         similarity = {(a, b): s for a, b, s in zip(known.col_a, known.col_b, known.jaccard, strict=True)}
         steps = merges(sorted(pdf.col_a[pdf.col_b.isna()]), similarity)
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], "step": range(len(steps)), "similarity": [s for s, _ in steps], "members": [sorted(m) for _, m in steps]}, columns=["scope", "step", "similarity", "members"])
+        rows = [(pdf["scope"].iloc[0], i, s, sorted(m)) for i, (s, m) in enumerate(steps)]
+        return pd.DataFrame(rows, columns=["scope", "step", "similarity", "members"])
 
     rows = pairs.select("scope", "col_a", "col_b", "jaccard").unionByName(single)
     return rows.groupBy("scope").applyInPandas(run, "scope string, step int, similarity double, members array<string>")
