@@ -60,9 +60,22 @@ def make_good(p: np.ndarray, weight: np.ndarray, excess: float) -> np.ndarray:
     for j in np.argsort(-weight, kind="stable"):
         if p[j] == taken and 0 < weight[j] <= left:
             p[j], left = 1.0 - taken, left - weight[j]
-    j = int(np.argmin(np.where((p == taken) & (weight > 0), np.abs(left - weight), np.inf)))
-    if p[j] == taken and weight[j] > 0 and abs(left - weight[j]) < left:
+    # Then single turns and exchanges of two documents, as long as they come nearer.
+    for _ in range(50):
+        on, off = np.flatnonzero((p == taken) & (weight > 0)), np.flatnonzero((p == 1 - taken) & (weight > 0))
+        off = off[np.argsort(weight[off], kind="stable")]
+        steps = np.concatenate([[0.0], weight[off]])
+        if not len(on):
+            break
+        near = np.searchsorted(steps, weight[on] - left)
+        best = min(((abs(left - weight[j] + steps[k]), j, k) for i, j in enumerate(on) for k in (near[i] - 1, near[i]) if 0 <= k < len(steps)), default=(left, -1, 0))
+        if best[0] >= abs(left) - 1e-9:
+            break
+        _, j, k = best
+        left += steps[k] - weight[j]
         p[j] = 1.0 - taken
+        if k:
+            p[off[k - 1]] = taken
     return p
 
 
