@@ -135,12 +135,15 @@ def report_retrievals(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RUNS: dict[str, dict[str, object]] = {
-    "callers": {"name": "setitem"}, "coupling": {}, "db_coverage": {}, "dead_dw": {}, "descendants": {"name": "userobject"}, "ancestors": {"name": "datawindow"}, "god_objects": {}, "pagerank": {}, "sql_complex": {}, "sql_issues": {},
-    "sql_lineage": {"table_name": "kideb"}, "sql_parse_failures": {}, "top": {},
+    "callers": {"name": "setitem"}, "coupling": {}, "db_coverage": {}, "dead_dw": {}, "descendants": {"name": "userobject"}, "ancestors": {"name": "datawindow"}, "god_objects": {"min_degree": 0}, "pagerank": {}, "sql_complex": {}, "sql_issues": {},
+    "sql_lineage": {"table_name": "tariff_hist_kideb0"}, "sql_parse_failures": {}, "top": {},
 }
 QUERIES = {f"canned_{n}": canned(n, **p) for n, p in _RUNS.items()} | {f.__name__: f for f in (lineage_of_sources, report_controls, report_retrievals)}
 _CS = "cs as (select file, lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, lower(trim(to_name)) as to_name, call_type, line from resolved_calls)"
 ORACLE = {
+    "canned_db_coverage": r"""with f as (select lower(regexp_extract(file, '([^/]+)\.\w+$', 1)) o, unnest(regexp_extract_all(lines, 'dbname="([^"]+)\.[^".]+"', 1)) t from source_files where lower(file) like '%.srd') select lower(t) as table_name, count(distinct o) as datawindow_count, string_agg(distinct o, ', ' order by o) as datawindows from f group by 1""",
+    "canned_sql_lineage": f"with {relational._AST} select object, proc_name, operation, source from ast where table_name = 'tariff_hist_kideb0'",
+    "canned_top": "with p as (select distinct file, lower(trim(object)) as object, lower(trim(proc_name)) as name, proc_type, start_line, end_line, params, return_type, cyclomatic, confidence from procs) select object, name, proc_type, cyclomatic from p order by cyclomatic desc nulls last, 1, 2, 3 limit 15",
     "canned_callers": f"with {_CS} select distinct object as caller, proc_name, call_type from cs where to_name = 'setitem'",
     "canned_coupling": f"with {_CS} select object as caller, to_name as callee, count(*) as edge_count from cs where object <> to_name group by 1, 2 having count(*) > 3 order by 3 desc, 1, 2 limit 20",
     "canned_descendants": graphs.ORACLE["descendants_of"],

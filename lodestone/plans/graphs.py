@@ -81,9 +81,8 @@ def pagerank_20(spark: SparkSession, d: str) -> DataFrame:
 
 
 def betweenness_pivots(spark: SparkSession, d: str) -> DataFrame:
-    """Betweenness of names in the inheritance graph, from 500 pivots."""
-    links = _links(spark, d)
-    return graph.betweenness(links.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    """Betweenness of objects in the call graph, exact up to 500 objects, from 500 pivots beyond."""
+    return graph.betweenness(_object_calls(spark, d))
 
 
 def dead_procs(spark: SparkSession, d: str) -> DataFrame:

@@ -377,10 +377,12 @@ def libraries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lint(spark: SparkSession, d: str) -> DataFrame:
-    """Lint findings over the statements of the source: SELECT * and writes without WHERE."""
+    """Lint over the statements of the source by operation: how many there are, SELECT *, writes without WHERE."""
     text = F.regexp_replace("lines", r"(?s)/\*.*?\*/|//[^\n]*", "")
-    statements = load(spark, d, "source_files").select("file", F.explode(F.regexp_extract_all(text, F.lit(r"(?is)\b((?:select|update|delete)\b[^;]*;)"), F.lit(1))).alias("raw_sql"))
-    return statements.select("file", F.explode(scalar.lint_codes(F.col("raw_sql"))).alias("issue_code")).groupBy("issue_code").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"))
+    statements = load(spark, d, "source_files").select(F.explode(F.regexp_extract_all(text, F.lit(r"(?is)(?:^|\n)\s*((?:select|update|delete)\b[^;]*;)"), F.lit(1))).alias("raw_sql"))
+    codes = scalar.lint_codes(F.col("raw_sql"))
+    has = lambda c: F.count_if(F.array_contains(codes, c))
+    return statements.groupBy(scalar.sql_operation(F.col("raw_sql")).alias("operation")).agg(F.count("*").alias("n"), has("select_star").alias("n_star"), has("write_no_where").alias("n_no_where"))
 
 
 def type_families(spark: SparkSession, d: str) -> DataFrame:
@@ -464,5 +466,9 @@ ORACLE = {
     "sql_operations": r"with l as (select unnest(regexp_split_to_array(lines, '\r?\n')) line from source_files), w as (select upper(regexp_extract(trim(line), '^(\S+?);*(\s|$)', 1)) o from l) select o as operation, count(*) as n from w where o in ('SELECT','INSERT','UPDATE','DELETE','EXECUTE','DECLARE','OPEN','FETCH','CLOSE','COMMIT','ROLLBACK','CONNECT','DISCONNECT') group by 1",
     "host_variables": r"with v as (select distinct file, unnest(regexp_extract_all(lines, ':([\p{L}_0-9]+)', 1)) v from source_files) select v as variable, count(*) as n_files from v group by 1",
     "libraries": "select list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1] as library, count(distinct lower(trim(object))) as n_objects, count(*) filter (kind = 'datawindow') as n_reports from objects group by 1",
+    "lint": r"""with t as (select regexp_replace(lines, '(?s)/\*.*?\*/|//[^\n]*', '', 'g') x from source_files), s as (select unnest(regexp_extract_all(x, '(?is)(?:^|\n)\s*((?:select|update|delete)\b[^;]*;)', 1)) q from t)
+      select upper(regexp_extract(q, '^(\w+)', 1)) as operation, count(*) as n, count(*) filter (regexp_matches(upper(q), '^\s*SELECT\s+\*')) as n_star, count(*) filter (regexp_matches(upper(q), '^\s*(UPDATE|DELETE)\b') and not contains(upper(q), 'WHERE')) as n_no_where from s group by 1""",
+    "control_types": "with n as (select lower(split_part(trim(child), '.', 2)) n from type_ancestors) select case " + " ".join(f"when starts_with(n, '{p}') then '{k}'" for p, k in scalar.CONTROL_PREFIXES) + " end as control_type, count(*) as n from n group by 1",
+    "type_families": "with t as (select return_type r, regexp_replace(lower(trim(return_type)), '\\s*\\{.*\\}$', '') n from procs) select case when r is null then null " + " ".join(f"when n in ({', '.join(repr(x) for x in names)}) then '{f}'" for f, names in scalar.FAMILIES.items()) + " else 'user_type:' || n end as family, count(*) as n from t group by 1",
     "broadcast_checked": "select r_name, round(sum(o_totalprice), 2) as total, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1",
 }

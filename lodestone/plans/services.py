@@ -185,7 +185,7 @@ def token_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (uses_counts, procedure_list, library_detail, diagnostics, code_quality, explain_source, call_resolution, search_all, token_coverage)
 QUERIES = {f.__name__: f for f in _ALL} | {f"diagram_{k}": (lambda s, d, k=k: diagram_edges(s, d, k)) for k in ("inheritance", "calls", "tables", "heatmap")}
-QUERIES |= {"object_page": lambda s, d: object_detail(s, d, "userobject"), "column_impact": lambda s, d: impact_of_column(s, d, "kideb")}
+QUERIES |= {"object_page": lambda s, d: object_detail(s, d, "userobject"), "column_impact": lambda s, d: impact_of_column(s, d, "tariff_hist_kideb0")}
 _LIB = "list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1]"
 ORACLE = {
     "uses_counts": """with u as (select lower(trim(target_object)) as object, 'call' how, lower(trim(object)) b from resolved_calls union select lower(trim(ancestor)), 'inherits', lower(trim(object)) from objects union select lower(trim(parent)), 'control', split_part(lower(trim(child)), '.', 1) from type_ancestors

@@ -38,7 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     executor costs a re-read and not a recomputation of the loop so far.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept, session = df.checkpoint(eager=True), df.sparkSession
+    # A checkpoint keeps its plan's estimate of size. Estimates multiply at joins, so in a loop their digits
+    # would double with each round; the rows alone start without one, and adaptive execution sees real sizes.
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), session)
 
 
 def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
