@@ -54,7 +54,7 @@ def cfg_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def dataflow_facts(spark: SparkSession, d: str) -> DataFrame:
     """Reaching definitions, live and exposed variables, overwritten definitions by fact."""
-    return dataflow.dataflow(script_facts(load(spark, d, "source_files"))).groupBy("fact").agg(F.count("*").alias("n"))
+    return dataflow.dataflow(load(spark, d, "source_files")).groupBy("fact").agg(F.count("*").alias("n"))
 
 
 def dead_variables(spark: SparkSession, d: str) -> DataFrame:

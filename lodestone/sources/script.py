@@ -88,12 +88,16 @@ class Flow:
         self.edges += [(b, block) for b in before if b is not None]
         return block
 
+    def _in(self, *words: str) -> bool:
+        """Whether the innermost open statement is one of these; others' ends in broken sources are passed over."""
+        return bool(self.open) and self.open[-1]["word"] in words
+
     def step(self, word: str) -> None:
         """Take one statement, given by its leading word."""
         if word in ("if", "choose", "try"):
             self.open.append({"head": self.block, "ends": [], "else": word == "try", "word": word})
             self.block = self.new(self.block) if word != "choose" else None
-        elif word in ("elseif", "else", "case", "case else", "catch") and self.open:
+        elif word in ("elseif", "else", "case", "case else", "catch") and self._in("if", "choose", "try"):
             top = self.open[-1]
             top["ends"].append(self.block)
             top["else"] = top["else"] or word in ("else", "case else")
@@ -102,12 +106,12 @@ class Flow:
             head = self.new(self.block)
             self.open.append({"head": head, "ends": [], "word": word})
             self.block = self.new(head)
-        elif word in ("next", "loop") and self.open:
+        elif word in ("next", "loop") and self._in("for", "do"):
             top = self.open.pop()
             if self.block is not None:
                 self.edges.append((self.block, top["head"]))
             self.block = self.new(top["head"], *top["ends"])
-        elif word in ("end if", "end choose", "end try") and self.open:
+        elif word in ("end if", "end choose", "end try") and self._in("if", "choose", "try"):
             top = self.open.pop()
             ends = [*top["ends"], self.block] + ([] if top["else"] else [top["head"]])
             self.block = self.new(*dict.fromkeys(ends))

@@ -104,4 +104,12 @@ def test_dead_variables(spark, rows):
     assert rows(dataflow.dead_variables(facts), "proc", "var", "kind") == []
     more = script_facts(spark.createDataFrame([("f", SOURCE.replace("of_put(ls_w, as_in)", "long ll_z = 1"))], "file string, lines string"))
     assert rows(dataflow.dead_variables(more), "proc", "var", "kind") == [("of_get", "ll_z", "never_read")]
-    assert dataflow.dataflow(facts).where("fact = 'unreachable'").count() == 1 + 0
+
+
+def test_dataflow_frame(spark, rows):
+    text = "public function long of_a (long al_x);\nlong ll_y\nll_y = 1\nll_y = 2\nif al_x > 0 then\nll_y = al_x\nend if\nreturn ll_y\nend function\n"
+    found = dataflow.dataflow(spark.createDataFrame([("f", text), ("g", None)], "file string, lines string"))
+    assert rows(found.where("fact = 'overwritten'"), "var", "line") == [("ll_y", 2), ("ll_y", 3)]
+    assert rows(found.where("fact = 'reaching' and block = 2 and var = 'll_y'"), "line") == [(4,), (6,)]
+    assert ("ll_y",) in rows(found.where("fact = 'live' and block = 0"), "var")
+    assert found.where("fact = 'unreachable'").count() == 1

@@ -72,6 +72,14 @@ def test_logical_lines_keep_numbers_and_join():
     assert any(t.startswith("SELECT") and t.endswith(";") for _, t in lines)
 
 
+def test_broken_scripts_give_what_can_be_read():
+    body = "for i = 1 to 2\nend if\nelse\nif a then\nnext\nloop\ncase 1\nend choose\nx = (1\ny = 'open\nexit\n"
+    text = f"public function long of_a ();\n{body}end function\npublic function long of_b ();\n/* open"
+    assert [r[2] for r in script.facts(text) if r[0] == "proc"] == ["of_a", "of_b"]
+    for i in range(len(SOURCE)):
+        list(script.facts(SOURCE[:i]))
+
+
 def test_script_frame_with_nulls(spark):
     df = spark.createDataFrame([("f", SOURCE), ("g", None), ("h", "")], "file string, lines string")
     facts = script.script_facts(df)
