@@ -170,6 +170,43 @@ def call_resolution(spark: SparkSession, d: str) -> DataFrame:
     return calls.join(found, ["object", "name"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def control_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Each control with the nearest ancestor of its owner that has a control of the same name, cycles passed over."""
+    from pyspark.sql import Window as W
+
+    controls = load(spark, d, "type_ancestors").select(F.split_part(norm("child"), F.lit("."), F.lit(1)).alias("owner"), F.split_part(norm("child"), F.lit("."), F.lit(2)).alias("control"), norm("parent").alias("type")).where("control <> ''").distinct()
+    chain = graphs.ancestor_chain(spark, d).select(F.col("child").alias("owner"), F.col("parent").alias("base"), "depth").where("owner <> base")
+    found = controls.join(chain, "owner").join(controls.select(F.col("owner").alias("base"), "control", F.col("type").alias("base_type")), ["base", "control"])
+    nearest = W.partitionBy("owner", "control").orderBy("depth", "base")
+    return found.withColumn("_n", F.row_number().over(nearest)).where("_n = 1").select("owner", "control", "base", "depth")
+
+
+# Effects of calls of these names.
+EFFECTS = {"retrieve": "db.read", "update": "db.write", "setitem": "buffer.write", "deleterow": "buffer.write", "insertrow": "buffer.write", "messagebox": "ui", "open": "ui", "close": "ui", "settransobject": "db.connect", "dbhandle": "db.connect"}
+
+
+def proc_effects(spark: SparkSession, d: str) -> DataFrame:
+    """(object, proc_name, effects) of each procedure: of its own calls and of all that it calls; the seeds are the effects, so the state is one row per procedure and effect."""
+    from lodestone.operators import fixpoint, graph
+
+    calls = graphs._calls(spark, d)
+    node = lambda o, p: F.concat_ws("::", o, p)
+    tag = F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv])[graph.last_segment(F.col("to_name"))]
+    direct = calls.select(F.concat(F.lit("effect "), tag).alias("src"), node("object", "proc_name").alias("dst")).where("src is not null")
+    edges = graph.call_edges(graphs._procs(spark, d).where("confidence <> 'speculative'"), calls)
+    back = edges.select(node("dst.object", "dst.proc").alias("src"), node("src.object", "src.proc").alias("dst"))
+    found = fixpoint.reach(direct.union(back), direct.select(F.col("src").alias("seed")), zero_hops=False)
+    effects = found.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set(F.substring("seed", 8, 100))), ",").alias("effects"))
+    return effects.select(F.split_part("node", F.lit("::"), F.lit(1)).alias("object"), F.split_part("node", F.lit("::"), F.lit(2)).alias("proc_name"), "effects")
+
+
+def report_footprint(spark: SparkSession, d: str) -> DataFrame:
+    """How many columns each report retrieves per table, and how many of them the catalog knows."""
+    known = load(spark, d, "catalog_columns").select(norm("table_name").alias("table_name"), norm("column_name").alias("column_name")).distinct().withColumn("known", F.lit(1))
+    columns = catalog._dw_columns(spark, d).select("object", "table_name", "column_name").distinct().join(known, ["table_name", "column_name"], "left")
+    return columns.groupBy("object", "table_name").agg(F.count("*").alias("n_columns"), F.count("known").alias("n_known"))
+
+
 def search_all(spark: SparkSession, d: str) -> DataFrame:
     """Everything whose name holds ``ledger``."""
     return search(spark, d, "ledger")
@@ -183,7 +220,7 @@ def token_coverage(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("pct", F.when(F.col("n") == 0, 0.0).otherwise(F.bround(100 * F.col("matched") / F.col("n"), 2)))
 
 
-_ALL = (uses_counts, procedure_list, library_detail, diagnostics, code_quality, explain_source, call_resolution, search_all, token_coverage)
+_ALL = (uses_counts, procedure_list, library_detail, diagnostics, code_quality, explain_source, call_resolution, control_overrides, proc_effects, report_footprint, search_all, token_coverage)
 QUERIES = {f.__name__: f for f in _ALL} | {f"diagram_{k}": (lambda s, d, k=k: diagram_edges(s, d, k)) for k in ("inheritance", "calls", "tables", "heatmap")}
 QUERIES |= {"object_page": lambda s, d: object_detail(s, d, "userobject"), "column_impact": lambda s, d: impact_of_column(s, d, "tariff_hist_kideb0")}
 _LIB = "list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1]"
@@ -199,6 +236,13 @@ ORACLE = {
       select object, proc_name, start_line, l[start_line] as first_line, greatest(least(end_line, len(l)) - start_line + 1, 0)::int as n_lines from p join f using (file)""",
     "call_resolution": f"""with recursive {graphs._UPMIN}, c as (select row_id, lower(trim(object)) o, lower(string_split(trim(to_name), '.')[-1]) n from resolved_calls), d as (select distinct lower(trim(object)) o, lower(trim(proc_name)) n from procs), u as (select n from d group by 1 having count(*) = 1),
       k as (select case when exists (select 1 from d where d.o = c.o and d.n = c.n) then 'own' when exists (select 1 from anc a join d on d.o = a.parent where a.child = c.o and d.n = c.n) then 'inherited' when c.n in (select n from u) then 'unique' else 'unresolved' end kind from c) select kind, count(*) as n from k group by 1""",
+    "control_overrides": f"""with recursive {graphs._UPMIN}, c as (select distinct split_part(lower(trim(child)), '.', 1) o, split_part(lower(trim(child)), '.', 2) n from type_ancestors where split_part(trim(child), '.', 2) <> ''),
+      x as (select c.o, c.n, b.o base, depth, row_number() over (partition by c.o, c.n order by depth, b.o) k from c join anc on anc.child = c.o and anc.child <> anc.parent join c b on b.o = anc.parent and b.n = c.n) select o as owner, n as control, base, depth::int as depth from x where k = 1""",
+    "proc_effects": f"""with recursive {graphs._DEAD.split(", up as")[0]}, {graphs._PROCS}, callref as (select distinct object, proc_name, string_split(to_name, '.')[-1] as callee from calls1), m as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in EFFECTS.items())}) t(n, e)),
+      e as (select r.object so, r.proc_name sp, r.object do_, p.proc_name dp from callref r join (select distinct object, proc_name from procs1) p on p.object = r.object and p.proc_name = r.callee union select object, proc_name, target_object, target_proc from calls1 where target_object is not null and target_proc is not null),
+      w as (select object, proc_name, e from callref join m on n = callee union select so, sp, w.e from w join e on e.do_ = w.object and e.dp = w.proc_name) select object, proc_name, string_agg(distinct e, ',' order by e) as effects from w group by 1, 2""",
+    "report_footprint": r"""with f as (select lower(regexp_extract(file, '([^/]+)\.\w+$', 1)) o, unnest(regexp_extract_all(lines, 'dbname="([^"]+\.[^".]+)"', 1)) r from source_files where lower(file) like '%.srd'), s as (select o, lower(regexp_extract(r, '^(.+)\.[^.]+$', 1)) t, lower(regexp_extract(r, '([^.]+)$', 1)) c from f)
+      select o as object, t as table_name, count(*) as n_columns, count(*) filter (exists (select 1 from catalog_columns k where lower(trim(k.table_name)) = t and lower(trim(k.column_name)) = c)) as n_known from (select distinct * from s) s group by 1, 2""",
     "search_all": """select distinct * from (select 'object' as kind, lower(trim(object)) as name, file as detail from objects where object ilike '%ledger%' union all select 'procedure', lower(trim(proc_name)), lower(trim(object)) from procs where proc_name ilike '%ledger%'
       union all select 'table', lower(trim(table_name)), lower(trim(namespace)) from catalog_columns where table_name ilike '%ledger%' union all select 'column', lower(trim(column_name)), lower(trim(table_name)) from catalog_columns where column_name ilike '%ledger%')""",
     "diagram_inheritance": f"with {graphs._LINKS} select child as src, parent as dst, 1::bigint as weight from links",
