@@ -54,13 +54,12 @@ def _double(state: DataFrame) -> DataFrame:
     and the name itself. ``far`` is a column, so all rounds share their compiled code.
     """
     up = state.select(F.col("name").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
-    gain = state.where("ptr is not null").groupBy(F.col("ptr").alias("name")).agg(F.sum("size").alias("_gain"))
-    joined = state.join(up, "ptr", "left").join(gain, "name", "left")
-    known = F.col("ptr").isNull()
-    return joined.select(
-        "name", "parent", F.when(~known, F.col("_ptr")).alias("ptr"), (F.col("far") * 2).alias("far"), F.when(known, F.col("depth")).otherwise(F.col("_depth") + F.col("far")).alias("depth"),
-        F.when(known, F.col("root")).otherwise(F.col("_root")).alias("root"), (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size"),
-    )
+    open_ = state.where("ptr is not null")
+    gain = open_.groupBy(F.col("ptr").alias("name")).agg(F.sum("size").alias("_gain"))
+    # Only open names are looked up: a NULL pointer would be one hot key of all the others.
+    moved = open_.join(up, "ptr").select("name", "parent", F.col("_ptr").alias("ptr"), "far", (F.col("_depth") + F.col("far")).alias("depth"), F.col("_root").alias("root"), "size")
+    both = moved.unionByName(state.where("ptr is null")).join(gain, "name", "left")
+    return both.select("name", "parent", "ptr", (F.col("far") * 2).alias("far"), "depth", "root", (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size"))
 
 
 def _resolve(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +102,8 @@ def _chains(tree: DataFrame) -> DataFrame:
     state, open_ = cut_counting(tree.select("name", F.when(goes_on, F.col("parent")).alias("ptr"), F.when(~goes_on, F.col("name")).alias("head")), far)
     while open_:
         up = state.select(F.col("name").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("head").alias("_head"))
-        state, open_ = cut_counting(state.join(up, "ptr", "left").select("name", F.col("_ptr").alias("ptr"), F.coalesce("head", "_head").alias("head")), far)
+        moved = state.where(far).join(up, "ptr").select("name", F.col("_ptr").alias("ptr"), F.col("_head").alias("head"))
+        state, open_ = cut_counting(moved.unionByName(state.where(~far)), far)
     return tree.drop("_goes_on").join(state.select("name", "head"), "name")
 
 
