@@ -10,15 +10,24 @@
    knows x as a variable name from the others.
 3. Blocks worded as an error page, a notice or filler give a page template. Wording
    that the lists below know counts by itself; a block that only resembles it counts
-   if its template repeats over documents and names nothing of the code base.
+   its template repeats over documents and names nothing of the code base.
+4. Slots are induced from records of one template. Labelled lines (``Owner: x``) are
+   aligned by the skeleton of the label, sentences with a gap (``____``) by their own;
+   where the value varies over records, the position is a slot. A slot is residue if it
+   is left blank, holds a variable's name, bare or in delimiters that plain text uses,
+   or holds a default: a value that many records share while the others are mostly
+   their own. A value that varies little (a status) has no default.
 
 The scan emits a few signals of few documents; only these are shuffled, with counts
 per template and variable pre-aggregated, so a text with a third of all rows or a hot
-template costs nothing but its scan.
+template costs nothing but its scan. Gaps in sentences are rare; only where there
+are any, a second scan gives the sentences that they are aligned with, aggregated per
+batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,6 +39,8 @@ from lodestone.session import cut
 
 #: Documents that a page template worded only loosely must have.
 REPEATS = 3
+#: Records that must hold a value for it to be their slot's default.
+DEFAULTS = 10
 SIGNALS = "kind string, template string, variable string"
 
 # Delimiters of template languages around a variable's name.
@@ -46,6 +57,10 @@ _IDENTIFIER = re.compile(r"(?<![\w/])[A-Za-z]+_\w+(?:\.\w+)*")
 _NUMBER = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b")
 _ADDRESS = re.compile(r"(?<!\w)/[a-z]+(?:/[\w-]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n")
+# A labelled line, a value left blank, a gap within a sentence.
+_FIELD = re.compile(r"^[ \t]*(?:[-*#>|]+ +)*([^\s:][^\n:]*):(?:[ \t]+([^\n]*))?$", re.M)
+_BLANK = re.compile(r"(?:_{2,}|\.{2,}|…|-{2,}|\?+|\[\s*\]|\(\s*\)|<\s*>|\s)*")
+_GAP = re.compile(r"(?<!\w)_{3,}(?!\w)")
 
 # The wording of error pages, of notices about scripts and of filler, one sentence each, in lower case, ¤ for an identifier, a number or an address.
 _THING = r"(?:page|document|report|article|item|file|site|record|content|resource|topic|entry|link|url|address)"
@@ -124,16 +139,24 @@ def _bare(sentence: str) -> str:
     return re.sub(r"[\s.!?。！…]*(?:\(¤\))?[\s.!?。！…]*$", "", sentence)
 
 
+def _clean(text: str | None) -> str:
+    """A text with plain line ends and blanks, without invisible characters, quotes and code."""
+    if not text or text.isspace():
+        return ""
+    text = _INVISIBLE.sub("", text).replace(" ", " ").replace("\r\n", "\n").replace("\r", "\n")
+    return _QUOTED.sub(lambda m: " “” " + "\n" * (m.group().count("\n") > 0), text)
+
+
 def signals(text: str | None) -> list[tuple[str, str, str | None]]:
     """(kind, template, variable) of a text, distinct.
 
     kind: ``variable`` and ``maybe`` for an unfilled slot, ``error``, ``notice``,
     ``filler`` for known wording, ``likely`` for a block that resembles it.
     """
-    if not text or text.isspace():
-        return []
-    text = _INVISIBLE.sub("", text).replace(" ", " ").replace("\r\n", "\n").replace("\r", "\n")
-    text = _QUOTED.sub(lambda m: " “” " + "\n" * (m.group().count("\n") > 0), text)
+    return _signals(_clean(text))
+
+
+def _signals(text: str) -> list[tuple[str, str, str | None]]:
     found: dict[tuple[str, str, str | None], None] = {}
     for kind, pattern in (("variable", _SURE), ("maybe", _MAYBE)):
         for m in pattern.finditer(text):
@@ -171,13 +194,72 @@ def signals(text: str | None) -> list[tuple[str, str, str | None]]:
     return list(found)
 
 
+def fields(text: str | None) -> list[tuple[str, str, str | None]]:
+    """(kind, template, value) of the positions of a text that may be slots, distinct.
+
+    kind: ``field`` for a labelled line with a value, ``empty`` for one left blank,
+    ``open`` for one with a single name in delimiters that plain text uses, ``gap`` for
+    a sentence with a gap. template: the label's or sentence's skeleton.
+    A label right before lines that are no fields is a heading and not left blank.
+    """
+    return _fields(_clean(text))
+
+
+def _fields(text: str) -> list[tuple[str, str, str | None]]:
+    found: dict[tuple[str, str, str | None], None] = {}
+    for m in _FIELD.finditer(text):
+        label, value = _skeleton(m.group(1).lower()), (m.group(2) or "").strip()
+        if _BLANK.fullmatch(value):
+            after = re.compile(r"\s*").match(text, m.end()).end()
+            if value or after == len(text) or _FIELD.match(text, text.rfind("\n", 0, after) + 1):
+                found[("empty", label, None)] = None
+        elif maybe := _MAYBE.fullmatch(value.rstrip(".")):
+            found[("open", label, _variable(maybe.groups()))] = None
+        elif not _SURE.search(value):
+            found[("field", label, _variable((value,)) if re.fullmatch(_NAME, value) else _digest(_fold(value)))] = None
+    if "___" in text:
+        for sentence in _SENTENCE.split(text):
+            if _GAP.search(sentence) and re.search(r"[^\W_]", sentence):
+                found[("gap", _aligned(sentence), None)] = None
+    return list(found)
+
+
+def _digest(value: str) -> str:
+    """A value's place holder in the shuffle; no variable's name begins so."""
+    return "#" + hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _aligned(sentence: str) -> str:
+    return _bare(_skeleton(_GAP.sub("¤", sentence.strip().lower())))
+
+
+def _records(df: DataFrame, text: str) -> DataFrame:
+    """(template, n, low, high) of the sentences without a gap: how many, and the least and greatest digest of their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list] = {}
+            for value in batch.column(text):
+                for sentence in set(_SENTENCE.split(_clean(value.as_py()))):
+                    template = "" if _GAP.search(sentence) else _aligned(sentence)
+                    if "¤" in template:
+                        own = _digest(sentence.strip().lower())
+                        x = seen.setdefault(template, [0, own, own])
+                        x[0], x[1], x[2] = x[0] + 1, min(x[1], own), max(x[2], own)
+            columns = [pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), *(pa.array([x[k] for x in seen.values()], pa.string()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["template", "n", "low", "high"])
+
+    parts = df.select(text).mapInArrow(run, "template string, n long, low string, high string")
+    return parts.groupBy("template").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, template, variable): the signals of each text; NULL, empty and blank texts have none."""
+    """(key, kind, template, variable): the signals and fields of each text; NULL, empty and blank texts have none."""
     field = next(f for f in df.schema.fields if f.name == key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *s) for i, value in enumerate(batch.column(text)) for s in signals(value.as_py())]
+            rows = [(i, *s) for i, value in enumerate(batch.column(text)) for clean in (_clean(value.as_py()),) for s in (*_signals(clean), *_fields(clean))]
             keys = batch.column(key).take(pa.array([r[0] for r in rows], pa.int64()))
             columns = [pa.array([r[j] for r in rows], pa.string()) for j in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([keys, *columns], names=[key, "kind", "template", "variable"])
@@ -185,20 +267,40 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {field.dataType.simpleString()}, {SIGNALS}")
 
 
-def residue(df: DataFrame, key: str = "doc_id", text: str = "text", repeats: int = REPEATS) -> DataFrame:
+def residue(df: DataFrame, key: str = "doc_id", text: str = "text", repeats: int = REPEATS, defaults: int = DEFAULTS) -> DataFrame:
     """(key, kind, template): the residue of each document that has any.
 
     A document may come out several times, for several templates. ``repeats`` is the
-    number of documents over which a loosely worded block must repeat. NULL keys are
-    judged like others; equal texts under different keys come out each.
+    number of documents over which a loosely worded block must repeat, and of records
+    that fill a slot; ``defaults`` the number that share a default, and they must be a
+    tenth of the records at least. NULL keys are judged like others; equal texts under
+    different keys come out each.
     """
     found = cut(scan(df, key, text))
     names = found.where("kind = 'variable'").select("variable").distinct()
     support = found.where("kind = 'likely'").groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= repeats).select("template")
-    known = found.where("kind not in ('maybe', 'likely')")
+    known = found.where("kind in ('variable', 'error', 'notice', 'filler')")
     maybe = found.where("kind = 'maybe'").join(names, "variable", "left_semi")
     likely = found.where("kind = 'likely'").join(support, "template", "left_semi")
-    return known.unionByName(maybe).unionByName(likely).select(key, F.when(F.col("kind") == "maybe", "variable").otherwise(F.col("kind")).alias("kind"), "template")
+    every = known.unionByName(maybe).unionByName(likely).unionByName(_slots(found, names, repeats, defaults))
+    gaps = found.where("kind = 'gap'")
+    if not gaps.isEmpty():
+        records = _records(df, text).where((F.col("n") >= repeats) & (F.col("low") < F.col("high")))
+        every = every.unionByName(gaps.join(records, "template", "left_semi").withColumn("kind", F.lit("blank")))
+    return every.select(key, F.when(F.col("kind").isin("maybe", "open"), "variable").otherwise(F.col("kind")).alias("kind"), "template")
+
+
+def _slots(found: DataFrame, names: DataFrame, repeats: int, defaults: int) -> DataFrame:
+    """The fields at induced slots that are blank, hold a variable's name or a default."""
+    filled = found.where("kind = 'field'")
+    values = filled.groupBy("template", "variable").agg(F.count("*").alias("n_value"))
+    slots = values.groupBy("template").agg(F.sum("n_value").alias("n"), F.count("*").alias("n_values")).where((F.col("n") >= repeats) & (F.col("n_values") > 1))
+    others = F.col("n") - F.col("n_value")
+    default = (F.col("n_value") >= defaults) & (F.col("n_value") * 10 >= F.col("n")) & (F.col("n_values") > repeats) & ((F.col("n_values") - 1) * 2 >= others)
+    shared = values.where(F.col("n_value") >= defaults).join(slots, "template").where(default).select("template", "variable")
+    blank = found.where("kind in ('empty', 'open')").join(slots, "template", "left_semi").withColumn("kind", F.when(F.col("kind") == "empty", "blank").otherwise(F.col("kind")))
+    named = filled.join(names, "variable", "left_semi").join(slots, "template", "left_semi").withColumn("kind", F.lit("variable"))
+    return blank.unionByName(named).unionByName(filled.join(shared, ["template", "variable"], "left_semi").withColumn("kind", F.lit("default")))
 
 
 def templates(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -47,3 +47,12 @@ def test_corpus_rules(spark):
 
 def test_long_text_is_read_whole():
     assert kinds("word of_a. " * 100_000 + "\n\n404 Not Found") == {"error"}
+
+
+def test_slots_are_induced_from_records(spark):
+    own = [(i, f"Owner: person {i}\nStatus: {'open' if i % 2 else 'closed'}\nShip it to depot_{i} by day {i}.") for i in range(20)]
+    odd = [(100 + i, "Owner: nobody yet\nStatus: open") for i in range(10)]
+    more = [(200, "Owner: ____\nStatus: open"), (201, "Owner:\nStatus: closed"), (202, "Owner: <sponsor>"), (203, "Owner: first_name"), (204, "Hello ${first_name}"), (205, "Ship it to ____ by day ___."), (206, "Nobody else has ____ here."), (207, "Owner:\n- a list"), (208, "Other: ____"), (209, "")]
+    df = spark.createDataFrame(own + odd + more, "doc_id long, text string")
+    found = {(r.doc_id, r.kind) for r in R.residue(df).collect()}
+    assert found == {(100 + i, "default") for i in range(10)} | {(200, "blank"), (201, "blank"), (202, "variable"), (203, "variable"), (204, "variable"), (205, "blank")}
