@@ -162,7 +162,7 @@ def _signals(text: str) -> list[tuple[str, str, str | None]]:
         for m in pattern.finditer(text):
             a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
             line = _MAYBE.sub("¤", _SURE.sub("¤", text[a : b if b >= 0 else len(text)]))
-            found[(kind, _skeleton(line)[:200], _variable(m.groups()))] = None
+            found[(kind, _skeleton(line), _variable(m.groups()))] = None
     for block in re.split(r"\n\s*\n", text):
         if not block.strip():
             continue
@@ -186,10 +186,10 @@ def _signals(text: str) -> list[tuple[str, str, str | None]]:
             folded = _fold(bare)
             for kind, pattern in _KNOWN:
                 if (kind == "filler" or not own) and pattern.fullmatch(folded):
-                    found[(kind, bare[:200], None)] = None
+                    found[(kind, bare, None)] = None
         if not named:
             whole = _skeleton(block.lower())
-            if len(whole) <= 200 and _LIKELY.search(whole):
+            if _LIKELY.search(whole):
                 found[("likely", whole, None)] = None
     return list(found)
 

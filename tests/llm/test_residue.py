@@ -56,3 +56,12 @@ def test_slots_are_induced_from_records(spark):
     df = spark.createDataFrame(own + odd + more, "doc_id long, text string")
     found = {(r.doc_id, r.kind) for r in R.residue(df).collect()}
     assert found == {(100 + i, "default") for i in range(10)} | {(200, "blank"), (201, "blank"), (202, "variable"), (203, "variable"), (204, "variable"), (205, "blank")}
+
+
+def test_long_blocks_and_templates_are_kept_apart(spark):
+    page = "We are sorry that what was asked for is unavailable now " + "and that it may stay so for a while " * 10
+    line = "and so on " * 30
+    docs = [(i, page) for i in range(3)] + [(3, f"{line} {{{{team}}}} one"), (4, f"{line} {{{{team}}}} two")]
+    found = R.residue(spark.createDataFrame(docs, "doc_id long, text string")).cache()
+    assert {r.doc_id for r in found.collect()} == {0, 1, 2, 3, 4}
+    assert sorted(r.n_docs for r in R.templates(found).collect()) == [1, 1, 3]
