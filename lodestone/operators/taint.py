@@ -62,7 +62,7 @@ def successors(intra: DataFrame, returned: DataFrame, inter: DataFrame, globals_
 
     returned: (object, proc, var), the variables that a procedure returns. globals_:
     (object, proc, var, writes): a global goes through a hub node of its own, so writers
-    and readers are not multiplied.
+    and readers are not multiplied. A column ``hub``, if there, tells hubs of one name apart.
     """
     edges = [intra.select(node("object", "proc", "use_var").alias("src"), node("object", "proc", "def_var").alias("dst"), F.lit("def").alias("kind"), F.concat("use_var", F.lit(" used in expression that defines "), "def_var").alias("description"))]
     arg = inter.where("edge_kind = 'arg'")
@@ -70,7 +70,7 @@ def successors(intra: DataFrame, returned: DataFrame, inter: DataFrame, globals_
     back = inter.where("edge_kind = 'return'").join(returned.select(F.col("object").alias("callee_object"), F.col("proc").alias("callee_proc"), "var").distinct(), ["callee_object", "callee_proc"])
     edges.append(back.select(node("callee_object", "callee_proc", "var").alias("src"), node("caller_object", "caller_proc", "caller_var").alias("dst"), F.lit("return").alias("kind"), F.concat(F.lit("return value of "), "callee_object", F.lit("."), "callee_proc", F.lit(" received by caller")).alias("description")))
     if globals_ is not None:
-        hub = node(F.lit("*global"), F.lit(""), F.col("var"))
+        hub = node(F.lit("*global"), F.col("hub") if "hub" in globals_.columns else F.lit(""), F.col("var"))
         own = node("object", "proc", "var")
         edges.append(globals_.where("writes").select(own.alias("src"), hub.alias("dst"), F.lit("global").alias("kind"), F.concat(F.lit("global variable "), "var", F.lit(" written in "), "object", F.lit("."), "proc").alias("description")))
         edges.append(globals_.where("not writes").select(hub.alias("src"), own.alias("dst"), F.lit("global").alias("kind"), F.concat(F.lit("global variable "), "var", F.lit(" read in "), "object", F.lit("."), "proc").alias("description")))
@@ -80,6 +80,60 @@ def successors(intra: DataFrame, returned: DataFrame, inter: DataFrame, globals_
     return out.distinct()
 
 
+def callees(calls: DataFrame, declared: DataFrame, ancestors: DataFrame, targets: DataFrame) -> DataFrame:
+    """(object, proc, line, name, callee_object) of the calls that can be resolved.
+
+    A call site's known target comes first; else own object, nearest ancestor that
+    declares the name, a unique declaration anywhere. ``super`` leaves out the own
+    object, any receiver but ``this`` and ``super`` all but the unique one. calls:
+    (file, object, proc, line, name, receiver); declared: (object, proc); ancestors:
+    (child, depth, parent); targets: (file, object, proc, line, name, callee_object).
+    """
+    site = ["file", "object", "proc", "line", "name"]
+    given = calls.join(targets, site).select(*site, "callee_object").distinct()
+    keys = calls.join(given.select(*site).distinct(), site, "left_anti").select(*site, F.coalesce("receiver", F.lit("this")).alias("receiver")).distinct()
+    names = keys.select("object", "name").distinct()
+    owners = declared.select(F.col("object").alias("callee_object"), F.col("proc").alias("name")).distinct()
+    own = names.join(owners, (names["object"] == owners["callee_object"]) & (names["name"] == owners["name"])).select("object", names["name"], "callee_object", F.lit(0).alias("rank"))
+    up = names.join(ancestors.select(F.col("child").alias("object"), F.col("parent").alias("callee_object"), F.col("depth").alias("rank")), "object").join(owners, ["callee_object", "name"])
+    unique = owners.groupBy("name").agg(F.count("*").alias("n"), F.min("callee_object").alias("callee_object")).where("n = 1")
+    anywhere = names.join(unique, "name").select("object", "name", "callee_object", F.lit(1_000_000).alias("rank"))
+    ranked = own.union(up.select("object", "name", "callee_object", "rank")).union(anywhere)
+    allowed = F.when(F.col("receiver") == "this", True).when(F.col("receiver") == "super", F.col("rank") > 0).otherwise(F.col("rank") == 1_000_000)
+    best = keys.join(ranked, ["object", "name"]).where(allowed).groupBy(*site, "receiver").agg(F.min(F.struct("rank", "callee_object")).alias("x"))
+    found = best.select(*site, F.col("x.callee_object").alias("callee_object"))
+    return given.union(found).select("object", "proc", "line", "name", "callee_object").distinct()
+
+
+def global_uses(defs: DataFrame, uses: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(object, proc, var, writes, hub) of instance and global variables, known by their prefixes ``i`` and ``g``.
+
+    A global has one hub. An instance variable is shared by an object with its ancestors
+    and descendants, not with others that use the name: its hub is the reading object,
+    and a writer leads to the hubs of all that it shares it with. A parameter or local
+    of the name hides it.
+    """
+    own = defs.where("kind in ('param', 'local_var')").select("object", "proc", "var").distinct()
+    both = defs.select("object", "proc", "var", F.lit(True).alias("writes")).union(uses.select("object", "proc", "var", F.lit(False).alias("writes")))
+    both = both.where(r"var rlike '^[ig][a-z]*_'").distinct().join(own, ["object", "proc", "var"], "left_anti")
+    once = both.where("var like 'g%'").withColumn("hub", F.lit(""))
+    inst = both.where("var like 'i%'")
+    reads = inst.where("not writes").withColumn("hub", F.col("object"))
+    hubs = reads.select("hub", "var").distinct()
+    line = ancestors.select(F.col("child").alias("object"), F.col("parent").alias("hub"))
+    shared = line.union(line.select("hub", "object")).distinct()
+    writes = inst.where("writes")
+    near = writes.withColumn("hub", F.col("object")).unionByName(writes.join(shared, "object")).join(hubs, ["hub", "var"], "left_semi").select("object", "proc", "var", "writes", "hub")
+    return once.unionByName(reads).unionByName(near).distinct()
+
+
+def statements(sql: DataFrame, uses: DataFrame) -> DataFrame:
+    """(object, proc, operation, vars): every statement of sql (file, object, proc, line, operation) with its host variables, none being an empty array."""
+    at = ["file", "object", "proc", "line", "operation"]
+    hosts = uses.where("kind = 'sql_host_var'").select("file", "object", "proc", "line", F.col("value").alias("operation"), "var")
+    return sql.select(*at).distinct().join(hosts, at, "left").groupBy(*at).agg(F.collect_set("var").alias("vars")).select("object", "proc", "operation", "vars")
+
+
 def sources(defs: DataFrame, procs: DataFrame) -> DataFrame:
     """(node, source_type): variables that SELECT INTO fills, and parameters of events."""
     into = defs.where("kind = 'sql_into'").select(node("object", "proc", "var").alias("node"), F.lit("sql_into").alias("source_type"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalar
 from lodestone.operators import dataflow, fixpoint, slicing, taint
-from lodestone.session import cut, load
+from lodestone.plans import graphs
+from lodestone.session import cut, load, norm
 from lodestone.sources.script import script_facts
 
 
@@ -71,25 +73,30 @@ def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     facts = _facts(spark, d)
     base = lambda tag: facts.where(F.col("tag") == tag).select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("var"), "kind", "value", "block")
     defs, uses, procs, calls = base("def"), base("use"), base("proc"), base("call")
-    own = procs.select("object", "proc").distinct()
-    calls = calls.where("kind is null").select("object", "proc", "line", F.col("var").alias("name")).distinct()
-    calls = calls.join(own.select("object", F.col("proc").alias("name")), ["object", "name"], "left_semi").withColumn("callee_object", F.col("object"))
+    declared = procs.select("object", "proc").union(load(spark, d, "procs").select(norm("object"), norm("proc_name"))).distinct()
+    ancestors = cut(graphs.ancestor_chain(spark, d))
+    known = load(spark, d, "resolved_calls").select("file", norm("object").alias("object"), norm("proc_name").alias("proc"), "line", scalar.last_dot_segment(F.trim("to_name")).alias("name"), norm("target_object").alias("callee_object"), norm("target_proc").alias("_proc"))
+    targets = known.where("callee_object <> '' and _proc = name").drop("_proc")
+    calls = cut(taint.callees(calls.select("file", "object", "proc", "line", F.col("var").alias("name"), F.col("kind").alias("receiver")), declared, ancestors, targets))
     args = uses.where("kind = 'call_arg'").select("object", "proc", "line", F.split_part("value", F.lit(":"), F.lit(1)).alias("name"), F.split_part("value", F.lit(":"), F.lit(2)).cast("int").alias("ordinal"), "var")
     place = W.partitionBy("file", "object", "proc", "line").orderBy("_at")
     params = defs.where("kind = 'param'").withColumn("_at", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(place) - 1).select("object", "proc", "ordinal", "var").distinct()
     inter = taint.argument_edges(calls, args, params).union(taint.return_edges(calls, defs))
-    return {"facts": facts, "defs": defs, "uses": uses, "procs": procs, "inter": inter}
+    return {"facts": facts, "defs": defs, "uses": uses, "procs": procs, "inter": cut(inter), "globals": cut(taint.global_uses(defs, uses, ancestors))}
 
 
 def interproc_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Argument and return edges between procedures by kind."""
-    return _parts(spark, d)["inter"].groupBy("edge_kind").agg(F.count("*").alias("n"))
+    """Argument and return edges between procedures, and edges to and from the hubs of globals, by kind."""
+    p = _parts(spark, d)
+    hubs = p["globals"].select(F.when(F.col("writes"), "global_write").otherwise("global_read").alias("edge_kind"))
+    return p["inter"].select("edge_kind").union(hubs).groupBy("edge_kind").agg(F.count("*").alias("n"))
 
 
 def _taint(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
     p = _parts(spark, d)
-    edges = cut(taint.successors(taint.intra_edges(p["defs"], p["uses"]), p["uses"].where("kind = 'return'").select("object", "proc", "var"), p["inter"]))
-    statements = p["uses"].where("kind = 'sql_host_var'").select("object", "proc", F.col("value").alias("operation"), F.array("var").alias("vars"))
+    edges = cut(taint.successors(taint.intra_edges(p["defs"], p["uses"]), p["uses"].where("kind = 'return'").select("object", "proc", "var"), p["inter"], p["globals"]))
+    sql = p["facts"].where("tag = 'sql'").select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("operation"))
+    statements = taint.statements(sql, p["uses"])
     return edges, cut(taint.sources(p["defs"], p["procs"])), cut(taint.sinks(statements)), p
 
 
@@ -103,7 +110,7 @@ def taint_confirmed(spark: SparkSession, d: str) -> DataFrame:
 def taint_reach_vars(spark: SparkSession, d: str) -> DataFrame:
     """How many variables each source reaches."""
     edges, sources, _, _ = _taint(spark, d)
-    return taint.reaches(edges, sources).groupBy(taint.key("source").alias("source_key")).agg(F.count("*").alias("n"), F.max("hops").alias("max_hops"))
+    return taint.reaches(edges, sources).where("node.object <> '*global'").groupBy(taint.key("source").alias("source_key")).agg(F.count("*").alias("n"), F.max("hops").alias("max_hops"))
 
 
 def taint_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -113,3 +113,20 @@ def test_dataflow_frame(spark, rows):
     assert rows(found.where("fact = 'reaching' and block = 2 and var = 'll_y'"), "line") == [(4,), (6,)]
     assert ("ll_y",) in rows(found.where("fact = 'live' and block = 0"), "var")
     assert found.where("fact = 'unreachable'").count() == 1
+
+
+def test_callees_globals_and_statements(spark, rows):
+    calls = spark.createDataFrame([("f", "b", "p", n, name, via) for n, name, via in ((1, "own", None), (2, "up", None), (3, "far", "io_x"), (4, "own", "super"), (5, "twice", "io_x"), (6, "own", "io_x"))], "file string, object string, proc string, line int, name string, receiver string")
+    declared = spark.createDataFrame([("b", "own"), ("a", "own"), ("a", "up"), ("z", "far"), ("y", "twice"), ("z", "twice")], "object string, proc string")
+    ancestors = spark.createDataFrame([("b", 1, "a")], "child string, depth int, parent string")
+    targets = spark.createDataFrame([("f", "b", "p", 6, "own", "q")], "file string, object string, proc string, line int, name string, callee_object string")
+    assert rows(taint.callees(calls, declared, ancestors, targets), "line", "callee_object") == [(1, "b"), (2, "a"), (3, "z"), (4, "a"), (6, "q")]
+    columns = "object string, proc string, var string, kind string"
+    defs = spark.createDataFrame([("b", "w", "is_a", "assign"), ("c", "w", "is_a", "assign"), ("b", "h", "is_a", "local_var"), ("c", "w", "gs_a", "assign"), ("b", "w", "ls_a", "assign")], columns)
+    uses = spark.createDataFrame([("a", "r", "is_a", "rhs"), ("b", "h", "is_a", "rhs"), ("a", "r", "gs_a", "rhs")], columns)
+    got = rows(taint.global_uses(defs, uses, ancestors), "object", "var", "writes", "hub")
+    assert got == sorted([("a", "is_a", False, "a"), ("b", "is_a", True, "a"), ("c", "gs_a", True, ""), ("a", "gs_a", False, "")], key=str)
+    facts = script_facts(spark.createDataFrame([("f", SOURCE.replace("UPDATE t SET a = :ls_q;", "DELETE FROM t;"))], "file string, lines string"))
+    sql = facts.where("tag = 'sql'").select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("operation"))
+    uses = facts.where("tag = 'use'").select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("var"), "kind", "value")
+    assert rows(taint.sinks(taint.statements(sql, uses)).select("node.var", "sink_type")) == [("*exec", "DELETE")]
