@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestone.operators import fixpoint
 from lodestone.session import cut, cut_counting, filled, load
 
 #: Parts in which the children of one parent are numbered.
@@ -159,3 +160,30 @@ def descendant_pairs(tree: DataFrame) -> DataFrame:
     """(object, descendant, distance) of the result of ``hierarchy``, from each name's path."""
     pairs = tree.select(F.col("object").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))).alias("pos", "object"))
     return pairs.select("object", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+
+
+def below_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trees that hang from names on cycles, as ``hierarchy`` gives trees, and (object, member, distance) of the cycles.
+
+    Each name on a cycle is the root of a tree of its own here (depth 0), so root,
+    path and interval of a name below a cycle are those from the nearest cycle name on.
+    The members of a cycle are each other's descendants, and their own.
+    """
+    nodes = cut(forest(links))
+    open_ = _resolve(nodes)[1]
+    cycle = cut(on_cycle(open_))
+    apart = nodes.join(open_.select("name"), "name", "left_semi")
+    own = apart.join(cycle, "name", "left_semi")
+    hung = apart.join(cycle, "name", "left_anti").select(F.col("name").alias("child"), "parent")
+    trees = hierarchy(hung.union(cycle.select(F.col("name").alias("child"), F.lit(None).cast("string").alias("parent"))))
+    around = fixpoint.all_pairs(own.select(F.col("parent").alias("src"), F.col("name").alias("dst")))
+    return trees, around.select(F.col("seed").alias("object"), F.col("node").alias("member"), F.col("hops").alias("distance"))
+
+
+def cyclic_pairs(links: DataFrame) -> DataFrame:
+    """(object, descendant, distance) of the names on and below cycles, which ``descendant_pairs`` has not."""
+    trees, around = below_cycles(links)
+    trees = cut(trees)
+    under = trees.where("depth > 0").select(F.col("root").alias("member"), F.col("object").alias("descendant"), "depth")
+    through = around.where("object <> member").join(under, "member").select("object", "descendant", (F.col("distance") + F.col("depth")).alias("distance"))
+    return descendant_pairs(trees).union(around).union(through)

@@ -59,7 +59,21 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return tree.where("depth >= 0").select("object", (F.col("last") - F.col("first")).alias("n_descendants"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_errors, p2_found, p2_report, p3_found, p3_intervals, p3_descendants, p3_counts)}
+def p3_cyclic(spark: SparkSession, d: str) -> DataFrame:
+    """Each name on or below a cycle with its place in the tree of the nearest name on the cycle, and the number of its descendants, its cycle's included."""
+    trees, around = hierarchy.below_cycles(hierarchy.parent_links(spark, d))
+    sizes = trees.where("depth = 0").select(F.col("object").alias("member"), "n_descendants")
+    total = around.join(sizes, "member").groupBy("object").agg((F.sum("n_descendants") + F.count("*")).alias("_n"))
+    out = trees.join(total, "object", "left").withColumn("n_descendants", F.coalesce("_n", "n_descendants"))
+    return out.select("object", "root", "depth", "path", "n_descendants", "first", "last", "chain")
+
+
+def p3_cyclic_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Each name on or below a cycle with each of its descendants; p3_descendants has those of all others."""
+    return hierarchy.cyclic_pairs(hierarchy.parent_links(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_errors, p2_found, p2_report, p3_found, p3_intervals, p3_descendants, p3_counts, p3_cyclic, p3_cyclic_descendants)}
 
 _FIELD = """("([^"]|"")*"|[^",]*)"""
 _P1 = f"""

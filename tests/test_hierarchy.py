@@ -1,6 +1,6 @@
 import random
 
-from lodestone.operators.hierarchy import descendant_pairs, hierarchy
+from lodestone.operators.hierarchy import below_cycles, cyclic_pairs, descendant_pairs, hierarchy
 
 
 def brute(parent):
@@ -66,3 +66,11 @@ def test_names_in_any_form(spark, rows):
 
 def test_empty_table(spark):
     assert hierarchy(links_of(spark, [])).count() == 0
+
+
+def test_descendants_on_and_below_cycles(spark, rows):
+    links = links_of(spark, [("x", "y"), ("y", "x"), ("a", "x"), ("b", "a"), ("t", "r"), ("self", "self")])
+    below = {("a", "b", 1), ("x", "a", 1), ("x", "b", 2), ("y", "a", 2), ("y", "b", 3)}
+    assert set(rows(cyclic_pairs(links))) == below | {("x", "y", 1), ("y", "x", 1), ("x", "x", 2), ("y", "y", 2), ("self", "self", 1)}
+    trees, _ = below_cycles(links)
+    assert rows(trees.where("root = 'x'"), "object", "depth", "n_descendants") == [("a", 1, 1), ("b", 2, 0), ("x", 0, 2)]
