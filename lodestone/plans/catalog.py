@@ -94,7 +94,7 @@ RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dw_objects": lambda s, d: load(s, d, "objects").where("kind = 'datawindow'").select("file", norm("object").alias("object")).distinct(),
     "dw_retrieve_tables": lambda s, d: _dw_columns(s, d).select("file", "object", "table_name").distinct(),
     "dw_retrieve_columns": _dw_columns,
-    "object_metrics": lambda s, d: graph.object_metrics(_call_sites(s, d).select("object", "to_name"), _procedures(s, d), graphs._links(s, d), rounds=5),
+    "object_metrics": lambda s, d: graph.object_metrics(_call_sites(s, d).select("object", "to_name"), _procedures(s, d), graphs._links(s, d)),
 }
 
 

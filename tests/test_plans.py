@@ -82,3 +82,10 @@ def test_jobs():
     b = jobs.start("k", lambda: 1 / 0)
     time.sleep(0.1)
     assert b != a and jobs.state(b) == "failed" and jobs.state("none") == "unknown"
+
+
+def test_metrics_of_canned_queries_take_all_rounds(spark, monkeypatch):
+    from lodestone.plans import catalog
+
+    monkeypatch.setattr(catalog.graph, "object_metrics", lambda *parts, **options: options)
+    assert catalog.RELATIONS["object_metrics"](spark, "/root/testdata/sf0.001") == {}
