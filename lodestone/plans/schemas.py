@@ -122,8 +122,7 @@ def schema_objects(spark: SparkSession, d: str) -> DataFrame:
 def lattice_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The formal concepts of market segments and regions of customers, and of nations within each segment."""
     customer = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rich = customer.where("c_acctbal > 9000")
-    return lattice.lattice(rich.select(F.col("r_name").alias("scope"), F.col("n_name").alias("object"), F.col("c_mktsegment").alias("attribute")))
+    return lattice.lattice(customer.select(F.col("r_name").alias("scope"), F.col("n_name").alias("object"), F.col("c_mktsegment").alias("attribute")))
 
 
 _ALL = (

@@ -89,3 +89,10 @@ def test_metrics_of_canned_queries_take_all_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(catalog.graph, "object_metrics", lambda *parts, **options: options)
     assert catalog.RELATIONS["object_metrics"](spark, "/root/testdata/sf0.001") == {}
+
+
+def test_concepts_come_from_all_customers(spark, monkeypatch):
+    from lodestone.plans import schemas
+
+    monkeypatch.setattr(schemas.lattice, "lattice", lambda incidence: incidence)
+    assert schemas.lattice_concepts(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
