@@ -117,7 +117,7 @@ def type_mismatches(facts: DataFrame) -> DataFrame:
 
     declared = facts.where("tag = 'proc' and kind = 'function'").select("file", "object", "proc_name", scalar.type_family(F.col("value")).alias("family"))
     prefix = F.regexp_extract("name", r"^[aiglv]([a-z])_", 1)
-    guess = F.when(prefix.isin("l", "i"), "numeric").when(prefix == "s", "string").when(prefix == "b", "boolean")
+    guess = F.when(prefix.isin("l", "i"), "numeric").when(prefix == "s", "string").when(prefix == "b", "boolean").when(prefix == "d", "datetime")
     returned = facts.where("tag = 'use' and kind = 'return'").select("file", "object", "proc_name", "name", guess.alias("used"))
     joined = returned.join(declared, ["file", "object", "proc_name"]).where(~scalar.compatible(F.col("family"), F.col("used")))
     return joined.groupBy("file", "object", F.col("proc_name").alias("proc"), "name", "family").agg(F.count("*").alias("n"))

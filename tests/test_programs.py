@@ -130,3 +130,9 @@ def test_callees_globals_and_statements(spark, rows):
     sql = facts.where("tag = 'sql'").select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("operation"))
     uses = facts.where("tag = 'use'").select("file", "object", F.col("proc_name").alias("proc"), "line", F.col("name").alias("var"), "kind", "value")
     assert rows(taint.sinks(taint.statements(sql, uses)).select("node.var", "sink_type")) == [("*exec", "DELETE")]
+
+
+def test_returned_dates_are_judged(spark, rows):
+    text = "global type n_a from nonvisualobject\nend type\npublic function long of_a (date ad_x);\nreturn ad_x\nend function\n"
+    facts = script_facts(spark.createDataFrame([("f", text)], "file string, lines string"))
+    assert rows(dataflow.type_mismatches(facts), "name", "family") == [("ad_x", "numeric")]
