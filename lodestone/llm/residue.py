@@ -6,11 +6,16 @@
 2. Records of one template are aligned: a line becomes its skeleton, in which
    unfilled variables, identifiers of the code base and numbers are slots. A slot that
    still holds a variable in delimiters of a template language is residue. Delimiters
-   that plain text uses as well (``<x>``, ``{x}``, ``[x here]``) count if the corpus
-   knows x as a variable name from the others.
-3. Blocks worded as an error page, a notice or filler give a page template. Wording
-   that the lists below know counts by itself; a block that only resembles it counts
-   its template repeats over documents and names nothing of the code base.
+   that plain text uses as well (``<x>``, ``{x}``, ``$x$``, ``[x here]``) count if the
+   corpus knows x as a variable name from the others.
+3. Pages are aligned by their blocks' skeletons. A sentence is described by concepts of
+   its words (failing, page, access, script, text, place, ...; a lexicon of stems, no
+   sentences) and by how much of it they cover. A block that says nothing of its own
+   and fails over a page, asks for scripts or keeps a text's place is residue; one that
+   does so weakly is if its template repeats. Blocks that share a sentence are records
+   of one page template whose other part is a slot: where the sentence stands beside
+   known wording in most of its blocks, what else fills that slot is residue as well,
+   whatever its words.
 4. Slots are induced from records of one template. Labelled lines (``Owner: x``) are
    aligned by the skeleton of the label, sentences with a gap (``____``) by their own;
    where the value varies over records, the position is a slot. A slot is residue if it
@@ -30,6 +35,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,18 +44,20 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut
 
-#: Documents that a page template worded only loosely must have.
+#: Documents that a page template worded only weakly must have.
 REPEATS = 3
+#: Share of a sentence's words that concepts must cover for it to count by itself.
+STRONG = 0.5
 #: Records that must hold a value for it to be their slot's default.
 DEFAULTS = 10
 SIGNALS = "kind string, template string, variable string"
 
 # Delimiters of template languages around a variable's name.
-_NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_. ][A-Za-z0-9]+){0,4}"
+_NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_. ][A-Za-z0-9]+)*"
 _SURE = re.compile(
-    rf"\{{\{{ ?({_NAME}) ?\}}\}}|\$\{{({_NAME})\}}|#\{{({_NAME})\}}|%\(({_NAME})\)[sd]|<%=? ?({_NAME}) ?%>|@@({_NAME})@@|%%({_NAME})%%|\b__([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)__|\[INSERT ({_NAME})\]"
+    rf"\{{\{{ ?({_NAME}) ?(?:\| ?[\w: ]+)?\}}\}}|\$\{{({_NAME})\}}|#\{{({_NAME})\}}|%\(({_NAME})\)[sd]|<%=? ?({_NAME}) ?%>|@@({_NAME})@@|%%({_NAME})%%|\*\|({_NAME})\|\*|\b__([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)__|\[INSERT ({_NAME})\]"
 )
-_MAYBE = re.compile(rf"\[\[({_NAME})\]\]|<<({_NAME})>>|<your ({_NAME})>|\[({_NAME}) here\]|(?<![\w<])<({_NAME})>|(?<![\w{{$#])\{{({_NAME})\}}")
+_MAYBE = re.compile(rf"\[\[({_NAME})\]\]|<<({_NAME})>>|<your ({_NAME})>|\[({_NAME}) here\]|(?<![\w<])<({_NAME})>|(?<![\w{{$#])\{{({_NAME})\}}|(?<![\w$])\$({_NAME})\$(?![\w$])")
 
 # Spans that quote, and code.
 _QUOTED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」", re.S)
@@ -59,68 +68,102 @@ _ADDRESS = re.compile(r"(?<!\w)/[a-z]+(?:/[\w-]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n")
 # A labelled line, a value left blank, a gap within a sentence.
 _FIELD = re.compile(r"^[ \t]*(?:[-*#>|]+ +)*([^\s:][^\n:]*):(?:[ \t]+([^\n]*))?$", re.M)
-_BLANK = re.compile(r"(?:_{2,}|\.{2,}|…|-{2,}|\?+|\[\s*\]|\(\s*\)|<\s*>|\s)*")
+_BLANK = re.compile(r"(?:_{2,}|\.{2,}|…|-{2,}|\?+|\[\s*\]|\(\s*\)|<\s*>|\b(?:TBD|TBA)\b\.?|\s)*")
 _GAP = re.compile(r"(?<!\w)_{3,}(?!\w)")
 
-# The wording of error pages, of notices about scripts and of filler, one sentence each, in lower case, ¤ for an identifier, a number or an address.
-_THING = r"(?:page|document|report|article|item|file|site|record|content|resource|topic|entry|link|url|address)"
-_WHAT = r"(?:this|the|our|that) [a-z]+(?: [a-z]+){0,2}"
-_REASON = (
-    r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|request time-?out|conflict|gone|too many requests|"
-    r"internal server error|not implemented|bad gateway|service unavailable|gateway time-?out)"
-)
-_SCRIPTS = r"(?:javascript|js|scripts|scripting|active scripting|active scripts)"
-_ERRORS = (
-    rf"(?:(?:http(?:/¤(?:\.¤)?)?(?: status| error)?|status|error|code|server error):? )?¤ ?[-–—:|]? ?{_REASON}",
-    r"(?:http/¤(?:\.¤)?|http status|http error|server error|error|error code|status):? ¤",
-    r"request ¤ failed",
-    rf"{_THING} (?:was )?not found",
-    rf"(?:this|the|that) {_THING} (?:is not|isn't|is no longer|was not) (?:available|found)",
-    rf"the {_THING} you (?:asked|looked|are looking|were looking) for (?:may|might|could|has|was|does|is|doesn't|cannot|can't).*",
-    rf"we (?:can't|cannot|couldn't|could not) (?:open|find|show|load|display) (?:that|this|the) {_THING}",
-    r"sorry,? that link is (?:dead|broken)", r"nothing lives at ¤", r"oops", r"something (?:went wrong|broke)(?: on our side)?",
-    r"an (?:unexpected |internal )?error (?:has )?occurred", r"temporarily unavailable", r"down for maintenance", r"(?:the )?(?:site|service) is (?:down|temporarily unavailable|under maintenance).*",
-    r"the database cannot be reached", r"error establishing a database connection", r"too many requests", r"access (?:is )?denied", r"permission (?:required|denied)", r"you've been signed out",
-    r"you (?:have been|are) (?:signed|logged) out", r"your session has (?:expired|timed out|ended)", r"your request could not be completed", r"the server (?:met an unexpected condition|could not answer|encountered).*",
-    r"you (?:don't|do not) have (?:the right|permission|access) to (?:open|view|see|access) .*", r"this site can't be reached",
-    r"(?:die )?seite (?:wurde )?nicht gefunden", r"die angeforderte seite .*gibt es nicht.*", r"zugriff verweigert", r"interner serverfehler(?: ¤)?", r"es ist ein (?:unerwarteter )?fehler aufgetreten",
-    r"ihre sitzung ist abgelaufen", r"(?:fehler|error|erreur) ¤ ?: .*", r"accès (?:refusé|interdit)", r"votre session a expiré", r"une erreur (?:interne )?est survenue", r"(?:la )?page (?:demandée )?(?:est )?introuvable",
-    r"acceso denegado", r"su sesión ha (?:expirado|caducado)", r"(?:la )?página no encontrada", r"se ha producido un error.*", r"η σελίδα δεν βρέθηκε", r"δεν επιτρέπεται η πρόσβαση",
-    r".*(?:服务器内部错误|页面不存在|找不到页面|拒绝访问|访问被拒绝).*", r".*(?:ページが見つかりません|アクセスが拒否されました|サーバーエラー|エラーが発生しました).*",
-)
-_NOTICES = (
-    rf"(?:please )?(?:enable|activate|turn on|switch on|allow) {_SCRIPTS}\b.*", rf"{_SCRIPTS} (?:is|are) (?:disabled|blocked|switched off|turned off|required|off)\b.*",
-    rf"(?:sorry, )?{_WHAT} (?:requires?|needs?|works? only with|doesn't work without|don't work without|does not work without) {_SCRIPTS}\b.*",
-    rf"your browser (?:does not|doesn't) support {_SCRIPTS}\b.*", rf"you (?:need|have) to (?:turn on|enable|activate|allow) {_SCRIPTS}\b.*", rf"to (?:open|view|use|see|read|show|load) .*, (?:allow|enable|turn on|activate) {_SCRIPTS}\b.*",
-    rf"we (?:couldn't|could not|can't) start .* because {_SCRIPTS} .*", r"noscript: .*", r"checking your browser before you continue", rf"{_WHAT} cannot be shown",
-    r"(?:bitte )?(?:aktivieren|erlauben) sie javascript.*", r"diese \w+ benötigt javascript.*", r"ohne aktive skripte .*", r"veuillez activer (?:le )?javascript.*", r"cette \w+ ne fonctionne pas sans (?:scripts|javascript)",
-    r"(?:por favor,? )?activ[ea] javascript.*", r"(?:su|tu) navegador tiene (?:los scripts|javascript) desactivad\w+", r"ενεργοποιήστε τη javascript.*", r"(?:请|請)(?:启用|開啟|打开) ?javascript.*", r".*javascript ?を有効に.*",
-)
-_SECTION = r"(?:(?:some|body) text|content|the (?:paragraph|text|content|body)|text)"
-_FILLER = (
-    r"your (?:text|content|words?|title|description) (?:goes|comes) here", r"(?:insert|enter|add|type|write|put) (?:your |a |the )?(?:short |brief )?(?:description|text|content|title|summary|introduction) (?:to ¤ )?here", rf"{_SECTION} of this section (?:(?:goes|comes) here|(?:is )?to be added|will follow)",
-    r"(?:¤: )?description to be added", r"content to follow", r"type something about .*", r"add a short introduction to .* here", r"replace this (?:paragraph|text|line|section) with .*", r"this (?:line|text|paragraph) is only a placeholder.*", r"this is a (?:sample|placeholder|default|dummy) page",
-    r"edit it or delete it,? then start writing", r"texto de ejemplo .*", r"texte à remplacer", r"décrivez ici .*", r"platzhaltertext.*", r"hier steht später .*", r"εδώ μπαίνει το κείμενο.*", r"(?:此处|在此)(?:输入|填写).*", r"ここに.*を入力.*",
-)
-#: Each wording of filler holds one of these words; a sentence that names something of the code base can be nothing else.
-_FILLER_HINT = re.compile("here|section|added|follow|something|replace|placeholder|page|writing|ejemplo|remplacer|décrivez|platzhalter|hier|εδώ|此处|在此|ここに")
-# Words of the usual filler text, words typed to fill a space, and words that an error page or notice is likely to have.
+# Stems of words by concept, in several languages; the second table for scripts without blanks. Function words, which say nothing.
+_STEMS = {
+    "fail": "error fail fault wrong broke dead down crash unavailable unreachable denied deny forbid unauthori expire timeout oops missing gone lost invalid maintenance unknown sorry trouble problem fehler serverfehler verweiger abgelaufen gesperrt fehlgeschlagen ungültig erreur refus interdit expir introuvable indisponible échou échec denegad prohibid caducad fallo fallid inválid σφάλμα λάθος έληξε αποτυχ απαγορε errore negato scadut vietat erro negado expirou fout geweigerd verlopen ошибк запрещ истек недоступ out",
+    "neg": "not no cannot never nothing nobody without nicht kein nie ne pas sans aucun sin ningun δεν χωρίς non senza não sem niet geen zonder не нет без",
+    "find": "found find exist available reach locat load open display show view access moved deleted removed connect answer respon complet process live gefunden gibt erreichbar verfügbar geladen trouv charg affich accessible encontr dispon carg mostrar abrir βρέθηκ υπάρχ διαθέσιμ φόρτωσ επιτρέπ trovat disponib encontrad gevonden beschikbaar найден существ",
+    "page": "page document article site website link url address content file item record resource entry topic session request server service database gateway host proxy connection status http code reference app application seite adresse inhalt sitzung anfrage dienst datenbank dokument lien contenu requête serveur enlace contenido sesión solicitud servidor página sitio recurso σελίδ σύνδεσ διακομιστ περιεχόμεν pagina risorsa sessione sessão страниц сервер сесси документ",
+    "access": "access permission permit right allow sign log zugriff berechtig anmeld angemeldet accès droit autoris connect acceso permis πρόσβασ δικαίωμ accesso acesso toegang доступ",
+    "again": "again later temporarily meanwhile unexpected internal something anything occur happen side detail team told survenue produ aufgetreten passier unerwartet intern retry reload refresh minute moment soon back erneut später réessay tard inténtel intent tarde ξανά αργότερα riprova tentar opnieuw позже",
+    "script": "javascript js script scripting noscript skript",
+    "enable": "enable disable turn switch activ block require need support browser setting work start see view allow off on extension aktivier deaktivier erlaub benötig funktionier darstell désactiv fonctionn navigateur besoin desactiv navegador necesit requier funcion ενεργοποι απενεργοπ φυλλομετρ πρόγραμμα attiv disattiv ative ingeschakeld включ браузер",
+    "text": "text content paragraph description title introduction intro word section body summary sentence heading line caption placeholder texte titre paragraphe texto título párrafo contenido platzhalter platzhaltertext absatz beschreibung inhalt κείμενο τίτλος περιγραφ testo tekst текст",
+    "dummy": "sample dummy placeholder default example ejemplo platzhalter exemple παράδειγμα esempio exemplo voorbeeld",
+    "place": "here goes go comes come follow added replace insert placeholder enter type put write writing edit delete own later hier steht ersetzen einfügen später ici remplacer décri insér aquí ejemplo sustituya reemplac escrib εδώ μπαίνει συμπληρ qui inserisci aqui insira vervang здесь вставьте замените",
+}
+_SUBSTRINGS = {
+    "fail": "错误 失败 拒绝 禁止 过期 不存在 找不到 无法 异常 エラー 失敗 拒否 見つかりません 切れ 错誤 錯誤",
+    "page": "页面 网页 服务器 会话 链接 请求 访问 内容 ページ サーバー アクセス セッション 頁面 伺服器",
+    "again": "稍后 再试 重试 后重试 しばらく 再度 もう一度",
+    "script": "javascript js 脚本 スクリプト",
+    "enable": "启用 禁用 开启 打开 浏览器 啟用 有効 無効 ブラウザ 表示",
+    "text": "文本 文字 内容 描述 标题 段落 本文 説明 テキスト タイトル",
+    "place": "此处 在此 这里 输入 填写 替换 ここ 入力 置き換え",
+}
+_FUNCTION = frozenset("the a an this that these those our your you we it he she they them its of to in on at by for from with and or but if is are was were be been being has have had may might can could will would do does did so as then please what which who when how there's it's i my me us about some any all more than also just only into up der die das den dem des ein eine einen es sie ihr ihre ihren ist sind war wird werden hat haben zu zum zur um mit für von auf im am bitte und oder nicht lässt sich le la les l un une du de d est sont été à au aux pour par sur dans et ou veuillez votre vous cette ce cet il elle se que qui el los las una unos son ha han sido por para con en y o su sus este esta al del lo ο η το οι τα του της των στη στην στο σε και να για με μια ένα αυτή αυτό gli è di da per che os é em com het een van op te в на и по к".split())
+# Stems that stand for whole words only, short ones always do.
+_WHOLE = frozenset("sign live come goes line type host code text word body hier pas fout".split())
+#: The reasons of the statuses that HTTP knows for failures.
+_REASON = re.compile(r"\b(?:%s)\b" % "|".join(sorted({re.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400} | {"gateway time-out", "request time-out"}, key=len, reverse=True)))
+_STATUS = re.compile(r"\b(?:%s)\b" % "|".join(str(int(s)) for s in HTTPStatus if s >= 400))
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_ELIDED = re.compile(r"^(?:l|d|n|j|s|m|qu)'")
+# Words of the usual filler text, words typed to fill a space.
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua donec eget urna nisi felis tellus quam porta pharetra cursus arcu massa morbi nulla ultrices vitae".split()
 )
 _TYPED = frozenset("asdf qwertz qwerty xxx bla blah foo bar test text word content dummy".split())
-_LIKELY = re.compile(rf"\b(?:error|not found|unavailable|denied|forbidden|expired|maintenance|placeholder|{_SCRIPTS}|cookies|try again|reload)\b")
 
 
 def _fold(s: str) -> str:
     return s.casefold().replace("’", "'").replace("ς", "σ")
 
 
-def _any(patterns: tuple[str, ...]) -> re.Pattern[str]:
-    return re.compile("|".join(f"(?:{_fold(p)})" for p in patterns))
+_BY_STEM = [(concept, _fold(stem)) for concept, stems in _STEMS.items() for stem in stems.split()]
+_BY_PART = [(concept, part) for concept, parts in _SUBSTRINGS.items() for part in parts.split()]
+
 
+@lru_cache(200_000)
+def concepts(word: str) -> frozenset[str] | None:
+    """The concepts of a folded word; None for a function word."""
+    found = {"neg"} if word.endswith("n't") or word.startswith("n'") else set()
+    word = re.sub(r"(?:n't|'\w+)$", "", _ELIDED.sub("", word))
+    for concept, stem in _BY_STEM:
+        if word in (stem, stem + "s", stem + "ed") or (len(stem) >= 4 and stem not in _WHOLE and word.startswith(stem)):
+            found.add(concept)
+    return frozenset(found) if found or word not in _FUNCTION else None
 
-_KNOWN = (("error", _any(_ERRORS)), ("notice", _any(_NOTICES)), ("filler", _any(_FILLER)))
+
+def judge(sentence: str, named: bool = False, failed: bool = False) -> tuple[str | None, float, bool]:
+    """(kind, cover, weak) of a sentence's folded skeleton: what its concepts make it, the share of it that they cover, whether it may be one if it repeats.
+
+    named: whether it names something of the code base, which only filler does.
+    failed: whether it holds the number of a failure that HTTP knows.
+    """
+    rest, n_reasons = _REASON.subn(" ", sentence)
+    have = {"fail"} if n_reasons else set()
+    if _UNSPACED.search(rest):
+        left = rest
+        for concept, part in _BY_PART:
+            if part in left or part in rest:
+                have.add(concept)
+                left = left.replace(part, " ")
+        # About four of ten signs are function words or endings.
+        cover = 1 - 0.6 * len(_UNSPACED.findall(left)) / max(len(_UNSPACED.findall(rest)), 1)
+    else:
+        words = [c for w in _WORD.findall(rest) if (c := concepts(w)) is not None]
+        have = have.union(*words)
+        cover = (n_reasons + sum(map(bool, words))) / max(n_reasons + len(words), 1)
+    slot = "¤" in sentence
+    if not named:
+        if "script" in have and have & {"enable", "neg", "fail"}:
+            return "notice", cover, True
+        if failed and have and cover == 1 and have <= {"page", "fail", "find"}:
+            return "error", cover, True
+        if "fail" in have and (slot or (cover >= 0.75 and "place" not in have) or have & {"page", "access", "find", "again"}):
+            return "error", cover, True
+        if have >= {"neg", "find"} and (slot or "page" in have) or "access" in have and have & {"neg", "enable"}:
+            return "error", cover, True
+        if "dummy" in have and have & {"text", "page"}:
+            return "filler", cover, True
+    if have >= {"text", "place"}:
+        return "filler", cover, True
+    return None, cover if have else 0.0, "fail" in have
 
 
 def _variable(groups: tuple[str | None, ...]) -> str:
@@ -150,8 +193,11 @@ def _clean(text: str | None) -> str:
 def signals(text: str | None) -> list[tuple[str, str, str | None]]:
     """(kind, template, variable) of a text, distinct.
 
-    kind: ``variable`` and ``maybe`` for an unfilled slot, ``error``, ``notice``,
-    ``filler`` for known wording, ``likely`` for a block that resembles it.
+    kind: ``variable`` and ``maybe`` for an unfilled slot; ``error``, ``notice``,
+    ``filler`` for a sentence that is one by its concepts, ``beside`` for the others of
+    its block; ``likely`` for a block that is one weakly, ``page`` for the sentences of
+    a block that has some concept only. Blocks that say something of their own have
+    none of the last five but filler.
     """
     return _signals(_clean(text))
 
@@ -171,29 +217,33 @@ def _signals(text: str) -> list[tuple[str, str, str | None]]:
             found[("filler", " ".join(sorted(set(words))), None)] = None
         elif len(words) >= 5 and sum(w in _LOREM for w in words) >= 0.8 * len(words):
             found[("filler", "lorem ipsum", None)] = None
-        named = False
-        for sentence in _SENTENCE.split(block):
-            if "“”" in sentence:
-                named = True
-                continue
-            own = bool(_IDENTIFIER.search(sentence))
-            named = named or own
-            if own and not _FILLER_HINT.search(_fold(sentence)):
-                continue
-            bare = _bare(_skeleton(sentence.lower()))
-            if not bare:
-                continue
-            folded = _fold(bare)
-            for kind, pattern in _KNOWN:
-                if (kind == "filler" or not own) and pattern.fullmatch(folded):
-                    found[(kind, bare, None)] = None
-        if not named:
-            whole = _skeleton(block.lower())
-            if _LIKELY.search(whole):
-                found[("likely", whole, None)] = None
+        for kind, template in _page(block):
+            found[(kind, template, None)] = None
     return list(found)
 
 
+def _page(block: str) -> list[tuple[str, str]]:
+    """(kind, template) of a block as a part of a page."""
+    sentences, tells = [], False
+    for sentence in _SENTENCE.split(block):
+        quotes = "“”" in sentence
+        named = bool(_IDENTIFIER.search(sentence))
+        skeleton = _skeleton(_MAYBE.sub("¤", _SURE.sub("¤", sentence)).lower()) if named or "{" in sentence or "<" in sentence or "[" in sentence else _skeleton(sentence.lower())
+        # A sentence that quotes or says something of what it names is content; a name alone is a title.
+        tells = tells or quotes or (named and len(_WORD.findall(skeleton)) >= 3)
+        if not quotes and (bare := _bare(skeleton)):
+            sentences.append((bare, named, *judge(_fold(bare), named, bool(_STATUS.search(sentence)))))
+    strong = {bare: kind for bare, _, kind, cover, _ in sentences if kind and cover >= STRONG and not (tells and kind != "filler")}
+    bare_status = len(sentences) == 1 and bool(_STATUS.fullmatch(block.strip()))
+    if tells or not (bare_status or any(cover for *_, cover, _ in sentences)):
+        return [(kind, bare) for bare, kind in strong.items()]
+    others = [bare for bare, named, *_ in sentences if bare not in strong and not named and re.search(r"[^\W\d_]", bare)]
+    if strong:
+        return [(kind, bare) for bare, kind in strong.items()] + [("beside", bare) for bare in others]
+    weak = bare_status or any(weak for *_, weak in sentences)
+    return [("page", bare) for bare in others] + ([("likely", " ".join(bare for bare, *_ in sentences))] if weak else [])
+
+
 def fields(text: str | None) -> list[tuple[str, str, str | None]]:
     """(kind, template, value) of the positions of a text that may be slots, distinct.
 
@@ -279,10 +329,13 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text", repeats: int
     found = cut(scan(df, key, text))
     names = found.where("kind = 'variable'").select("variable").distinct()
     support = found.where("kind = 'likely'").groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= repeats).select("template")
+    counts = found.where("kind in ('beside', 'page')").groupBy("template").agg(F.count_if(F.col("kind") == "beside").alias("n_beside"), F.count("*").alias("n"))
+    shared = counts.where((F.col("n_beside") >= repeats) & (F.col("n_beside") * 2 >= F.col("n"))).select("template")
     known = found.where("kind in ('variable', 'error', 'notice', 'filler')")
     maybe = found.where("kind = 'maybe'").join(names, "variable", "left_semi")
     likely = found.where("kind = 'likely'").join(support, "template", "left_semi")
-    every = known.unionByName(maybe).unionByName(likely).unionByName(_slots(found, names, repeats, defaults))
+    filling = found.where("kind = 'page'").join(shared, "template", "left_semi").withColumn("kind", F.lit("slot"))
+    every = known.unionByName(maybe).unionByName(likely).unionByName(filling).unionByName(_slots(found, names, repeats, defaults))
     gaps = found.where("kind = 'gap'")
     if not gaps.isEmpty():
         records = _records(df, text).where((F.col("n") >= repeats) & (F.col("low") < F.col("high")))

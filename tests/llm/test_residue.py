@@ -6,7 +6,7 @@ KNOWN = {"first_name", "summary"}
 
 
 def kinds(text):
-    return {k if k != "maybe" else "variable" for k, _, v in R.signals(text) if k not in ("likely",) and (k != "maybe" or v in KNOWN)}
+    return {k if k != "maybe" else "variable" for k, _, v in R.signals(text) if k not in ("likely", "page", "beside") and (k != "maybe" or v in KNOWN)}
 
 
 @pytest.mark.parametrize(
@@ -65,3 +65,27 @@ def test_long_blocks_and_templates_are_kept_apart(spark):
     found = R.residue(spark.createDataFrame(docs, "doc_id long, text string")).cache()
     assert {r.doc_id for r in found.collect()} == {0, 1, 2, 3, 4}
     assert sorted(r.n_docs for r in R.templates(found).collect()) == [1, 1, 3]
+
+
+@pytest.mark.parametrize("text", ["The page you wanted went missing. Return home.", "Votre page n'existe plus.", "Страница не найдена", "We apologize, but the page could not be located.", "Diese Seite existiert leider nicht.", "La sesión ha caducado.", "Connection to the gateway timed out.", "Pagina non trovata"])
+def test_wordings_that_no_list_holds(text):
+    assert "error" in kinds(text)
+
+
+@pytest.mark.parametrize("text", ["Dear *|FIRST_NAME|*,", "Hello {{ user.name | title }}!", "Owner: ${one_two_three_four_five_six_seven}"])
+def test_more_delimiters(text):
+    assert "variable" in kinds(text)
+
+
+def test_what_fills_a_page_template(spark):
+    """Whatever stands where others of the template have known wording is residue too; a sentence that stands in other blocks as well is no template."""
+    known = [(i, "Page not found. Kindly ring the porter.") for i in range(4)]
+    odd = [(10, "Alas, the gremlins ate this whole page. Kindly ring the porter."), (11, "A good read. It has no error left.")]
+    often = [(20 + i, "Access denied. We thank you.") for i in range(3)] + [(30 + i, f"Release {i} fixes an error for all of us. We thank you.") for i in range(6)]
+    found = {r.doc_id for r in R.residue(spark.createDataFrame(known + odd + often, "doc_id long, text string")).where("kind = 'slot'").collect()}
+    assert found == {10}
+
+
+def test_bare_status_and_undecided_values(spark):
+    docs = [(i, "404") for i in range(3)] + [(5, "7"), (6, "Owner: TBD\nStatus: open")] + [(10 + i, f"Owner: person {i}\nStatus: open") for i in range(5)]
+    assert {r.doc_id for r in R.residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0, 1, 2, 6}
