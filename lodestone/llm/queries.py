@@ -15,7 +15,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of columns that statements write together at least 5 times and twice as often as chance."""
     from lodestone.llm import pairs
 
-    return pairs.co_updates(load(spark, d, "sql_statement_columns")).select("column_a", "column_b", "co_write_support")
+    return pairs.co_updates(load(spark, d, "sql_statement_columns"), q_values=False).select("column_a", "column_b", "co_write_support")
 
 
 def p4_surprise(spark: SparkSession, d: str) -> DataFrame:
@@ -29,10 +29,18 @@ def p4_support(spark: SparkSession, d: str) -> DataFrame:
     """Every pair with its supports."""
     from lodestone.llm import pairs
 
-    every = pairs.co_updates(load(spark, d, "sql_statement_columns"), 1, 0.0)
+    every = pairs.co_updates(load(spark, d, "sql_statement_columns"), 1, 0.0, q_values=False)
     return every.select("column_a", "column_b", "co_write_support", "support_a", "support_b", "n")
 
 
+def p4_significant(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs whose support is beyond the null at a false-discovery rate of 1 in 20, with what the null expects."""
+    from lodestone.llm import pairs
+
+    every = pairs.co_updates(load(spark, d, "sql_statement_columns"), 1, 0.0)
+    return every.where("q_value <= 0.05").select("column_a", "column_b", "co_write_support", "expected", "surprise", "q_value")
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.llm import syntax
 
@@ -114,7 +122,7 @@ def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     return residue.templates(residue.residue(load(spark, d, "documents").select("doc_id", "text")))
 
 
-_ALL = (p4_found, p4_surprise, p4_support, p5_found, p5_errors, p5_rates, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_kept, p8_templates)
+_ALL = (p4_found, p4_surprise, p4_support, p4_significant, p5_found, p5_errors, p5_rates, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_kept, p8_templates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -85,3 +85,38 @@ def test_columns_are_named_and_normalised(spark):
     df = spark.createDataFrame(rows, "file string, object string, proc_name string, line int, namespace string, table_name string, column_name string, is_write boolean")
     got = {(r.column_a, r.column_b, r.co_write_support) for r in P.co_updates(df).collect()}
     assert got == {("t.a", "t.b", 6), ("s.t.a", "s.t.b", 6)}
+
+
+def test_one_event_has_an_exact_tail():
+    for n, q in ((5, 0.001), (100, 1e-4), (3, 0.9)):
+        want = -np.log10(1 - (1 - q) ** n)
+        assert abs(P.surprise(np.array([1.0]), np.array([[q]]), np.array([float(n)]))[0] - want) < 1e-6
+
+
+def test_blocks_slices_and_lots_change_nothing(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(f"b{rnd.randrange(40)}", rnd.choice("st"), f"i{rnd.randrange(30)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "basket string, scope string, item string")
+    look = lambda: {(r.scope, r.item_a, r.item_b): (r.support, round(r.expected, 6), round(r.surprise, 6), round(r.q_value, 6)) for r in P.co_occurrence(df, ["basket"], ["scope"], "item").collect()}
+    want = look()
+    assert set(want) == set(brute(rows))
+    monkeypatch.setattr(P, "SLICE", 3)
+    monkeypatch.setattr(P, "CASES", 7)
+    monkeypatch.setattr(P, "BLOCK", 10)
+    assert look() == want
+
+
+def test_q_values_do_not_depend_on_the_bounds(spark):
+    rnd = random.Random(9)
+    rows = [(f"b{b}", "s", f"i{i}") for b in range(120) for i in rnd.sample(range(12), 4)]
+    df = spark.createDataFrame(rows, "basket string, scope string, item string")
+    every = {(r.item_a, r.item_b): r.q_value for r in P.co_occurrence(df, ["basket"], ["scope"], "item").collect()}
+    some = {(r.item_a, r.item_b): r.q_value for r in P.co_occurrence(df, ["basket"], ["scope"], "item", 14, 1.1).collect()}
+    assert some and len(some) < len(every) and all(every[k] == v for k, v in some.items())
+    assert "q_value" not in P.co_occurrence(df, ["basket"], ["scope"], "item", 14, 1.1, q_values=False).columns
+
+
+def test_fit_reports_its_error():
+    freq, nf, size, ns = np.array([2.0, 5.0]), np.array([3.0, 2.0]), np.array([1.0, 2.0]), np.array([4.0, 6.0])
+    x, y = P.fit(freq, nf, size, ns)
+    assert P.fit_error(freq, x, y, ns) < 1e-4
