@@ -201,12 +201,34 @@ def scan_script(text: str) -> Iterator[Token]:
     parts: list[str] = []
     brackets: list[str] = []
     state = {"first": line, "on_line": 0}
-    sql = False
+    # n_filled counts the parts that aren't blank, so that a long statement is joined once, at its end.
+    sql, n_filled = False, 0
+
+    def put(part: str) -> None:
+        nonlocal n_filled
+        parts.append(part)
+        n_filled += not part.isspace()
+
+    def continued() -> bool:
+        """Whether the last sign is a continuation; it is taken away then."""
+        nonlocal n_filled
+        at = len(parts)
+        while at and (not parts[at - 1] or parts[at - 1].isspace()):
+            at -= 1
+        if not at or not parts[at - 1].rstrip().endswith("&"):
+            return False
+        held = parts[at - 1].rstrip()[:-1]
+        del parts[at - 1 :]
+        n_filled -= 1
+        if held:
+            put(held)
+        return True
 
     def close(ended: bool, more: bool) -> Iterator[Token]:
-        nonlocal sql
-        statement = "".join(parts).strip()
+        nonlocal sql, n_filled
+        statement = "".join(parts).strip() if n_filled else ""
         parts.clear()
+        n_filled = 0
         if not statement:
             return
         if brackets:
@@ -219,7 +241,7 @@ def scan_script(text: str) -> Iterator[Token]:
 
     end, size, at_start = 0, len(text), True
     while end < size:
-        if at_start and not "".join(parts).strip():
+        if at_start and not n_filled:
             state["first"] = line
         if at_start and text[end] in "<=>|" and MERGE.match(text, end):
             raise ScanError(line, "merge conflict")
@@ -228,13 +250,13 @@ def scan_script(text: str) -> Iterator[Token]:
         part, at_start = m.lastgroup, False
         if part == "note":
             n = m.group().count("\n")
-            parts.append(" ")
+            put(" ")
             if n and not sql and not brackets:
                 yield from close(False, False)
                 state["on_line"] = 0
             line += n
         elif part == "text":
-            parts.append('""')
+            put('""')
         elif part == "bad":
             raise ScanError(line, "open comment" if m.group() == "/*" else "open string")
         elif part == "mark":
@@ -246,23 +268,21 @@ def scan_script(text: str) -> Iterator[Token]:
                     raise ScanError(line, "unexpected bracket")
             if mark == ";":
                 if sql:
-                    rest = _rest_of_line(text, end)
-                    if rest:
-                        parts.append(";")
+                    if not _ENDS_LINE.match(text, end):
+                        put(";")
                         continue
                     yield from close(True, False)
-                elif not sql:
-                    yield from close(True, bool(_rest_of_line(text, end)))
+                else:
+                    yield from close(True, not _ENDS_LINE.match(text, end))
                     if brackets:
                         raise ScanError(line, "open bracket")
                 continue
-            parts.append(mark)
+            put(mark)
         elif part == "nl":
-            held = "".join(parts).rstrip()
-            if held.endswith("&") and not sql:
-                parts[:] = [held[:-1], " "]
-            elif sql:
-                parts.append(" ")
+            if sql:
+                put(" ")
+            elif continued():
+                put(" ")
             else:
                 yield from close(False, False)
                 if brackets:
@@ -271,23 +291,19 @@ def scan_script(text: str) -> Iterator[Token]:
             line += 1
             at_start = True
         else:
-            if not sql and not "".join(parts).strip() and _SQL.match(m.group().lstrip()):
+            if not sql and not n_filled and _SQL.match(m.group().lstrip()):
                 sql = True
-            parts.append(m.group())
+            put(m.group())
     if sql:
         raise ScanError(state["first"], "open SQL")
-    if "".join(parts).rstrip().endswith("&"):
+    if continued():
         raise ScanError(line, "continued line")
     yield from close(False, False)
     yield Token(END, line)
 
 
-def _rest_of_line(text: str, at: int) -> str:
-    """What stands on the line from ``at`` on, without comments."""
-    stop = text.find("\n", at)
-    rest = text[at : stop if stop >= 0 else len(text)]
-    rest = re.sub(r"/\*.*?\*/", "", rest)
-    return re.split(r"//|/\*", rest)[0].strip()
+#: From a place on: nothing more on the line but blanks and comments.
+_ENDS_LINE = re.compile(r"(?:[^\S\n]|/\*[^\n]*?\*/)*(?://|/\*|\n|\Z)")
 
 
 _REPORT_PART = re.compile(r'(?P<space>\s+)|(?P<string>"(?:~.|[^"~])*")|(?P<bad>")|(?P<mark>[()\[\]])|(?P<name>[A-Za-z_][\w.]*)|(?P<other>~.|[^\s"()\[\]~A-Za-z_]+|.)', re.S)

@@ -56,10 +56,16 @@ class Transducer:
         self.whole: dict[int, bool] = {}
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, keep: tuple | None = None) -> int:
+        """Forget all states but the first and ``keep``, whose number is returned."""
         #: A state: for each live start (node in the trie, token before it, unsettled tokens before it); the last is the present place.
         start = ((0, -1, ()),)
         self.states, self.number, self.table = [start], {start: 0}, {}
+        if keep is None or keep == start:
+            return 0
+        self.states.append(keep)
+        self.number[keep] = 1
+        return 1
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging by rank, used on two tokens at a time."""
@@ -116,12 +122,15 @@ class Transducer:
         return number, out
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.table) > TRANSITIONS:
-            self.reset()
         state, ids, table = 0, [], self.table
         for byte in data:
             got = table.get(state << 8 | byte)
-            state, out = got if got is not None else self._advance(state, byte)
+            if got is None:
+                if len(table) >= TRANSITIONS:  # also within a piece, of any length
+                    state = self.reset(self.states[state])
+                    table = self.table
+                got = self._advance(state, byte)
+            state, out = got
             if out:
                 ids.extend(out)
         ids.extend(self.states[state][-1][2])

@@ -114,3 +114,26 @@ def test_frame(spark):
     assert {(r.file, r.language, r.valid) for r in checked.collect()} == {("r/a.pbl/w.srw", "powerscript", True), ("r/a.pbl/d.SRD", "datawindow", True), ("r/a.pbl/j.srj", "project", False), ("q/a.pbl/k.sru", "datawindow", True)}
     assert {(r.repository, r.language): r.rate for r in S.rates(checked).collect()}[("r", "project")] == 1.0
     assert S.check_files(S.with_language(files.limit(0), objects)).count() == 0
+
+
+def test_a_long_statement_takes_linear_time():
+    import time
+
+    from lodestone.llm.syntax import first_error
+
+    head = "global type a from b\nend type\nsubroutine f ();\nx = "
+    spent = []
+    for n in (10_000, 40_000):
+        text = head + " + ".join(f"a{i}('s')" for i in range(n)) + " &\n + 1\nend subroutine\n"
+        began = time.perf_counter()
+        assert first_error(text, "powerscript") is None
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
+def test_what_stands_behind_a_semicolon():
+    from lodestone.llm.syntax import first_error
+
+    head = "global type a from b\nend type\nsubroutine f (); // c\n"
+    for body, valid in (("select a from b where c = ';' ; /* x */ // y\n", True), ("select a from b; c\n;\n", True), ("if a then ; b\n", False), ("x = 1 & \n& \n + 2\n", True), ("x = 1 &", False)):
+        assert (first_error(head + body + "end subroutine\n", "powerscript") is None) == valid, body

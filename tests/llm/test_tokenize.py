@@ -55,3 +55,18 @@ def test_frame(spark, reference):
     assert counts == {i: len(v) for i, v in got.items()}
     assert T.roundtrip(df).where("not exact").count() == 0
     assert T.encode_texts(df.limit(0)).count() == 0
+
+
+def test_the_table_is_bounded_within_a_piece(monkeypatch):
+    import random
+
+    from lodestone.llm import tokenize as K
+
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefghijklmnop") for _ in range(6000))
+    coder = K.Encoder()
+    want = coder.encode(text)
+    monkeypatch.setattr(K, "TRANSITIONS", 500)
+    small = K.Encoder()
+    assert small.encode(text) == want and small.decode(want) == text
+    assert len(small.transducer.table) <= 500 and len(small.transducer.states) <= 502
