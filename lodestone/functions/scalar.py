@@ -192,6 +192,19 @@ def category(file: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[ext], F.lit("userobject"))
 
 
+# Languages by extension; all others are scripts.
+LANGUAGES = {"srd": "datawindow", "srp": "pipeline", "srj": "project"}
+
+
+def language(kind: Column, file: Column) -> Column:
+    """An object's language: its kind, or where that is NULL by the extension of its file, in any case."""
+    extension = F.lower(F.regexp_extract(file, r"\.(\w+)\s*$", 1))
+    by_extension = F.lit("powerscript")
+    for ext, name in LANGUAGES.items():
+        by_extension = F.when(extension == ext, name).otherwise(by_extension)
+    return F.coalesce(F.nullif(F.lower(F.trim(kind)), F.lit("")), by_extension)
+
+
 def library(file: Column) -> Column:
     """The first segment of a path that is a library."""
     return F.get(F.filter(F.split(file, "/"), lambda x: F.lower(x).endswith(".pbl")), F.lit(0))

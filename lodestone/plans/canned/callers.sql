@@ -1,4 +1,5 @@
--- Who calls a function or method of this name.
+-- The procedures that call a name, one row per way of calling.
 -- :name TEXT
 -- @entity caller object
-SELECT DISTINCT object AS caller, proc_name, call_type FROM call_sites WHERE to_name = $name ORDER BY caller, proc_name, call_type
+WITH hits AS (SELECT object, proc_name, call_type, count(*) AS n FROM call_sites WHERE to_name = $name GROUP BY object, proc_name, call_type)
+SELECT object AS caller, proc_name, call_type FROM hits ORDER BY caller, proc_name, call_type

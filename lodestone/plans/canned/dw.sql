@@ -1,5 +1,7 @@
--- The columns that a report retrieves, per table.
+-- Which columns of which tables a report retrieves.
 -- :name TEXT
 -- @entity table_name table
-SELECT t.table_name, array_join(array_sort(collect_list(c.column_name)), ', ') AS columns FROM dw_retrieve_tables t
-JOIN dw_retrieve_columns c ON c.object = t.object AND c.table_name = t.table_name WHERE t.object = $name GROUP BY t.table_name
+SELECT table_name, array_join(array_sort(collect_set(column_name)), ', ') AS columns
+FROM dw_retrieve_columns
+WHERE object = $name
+GROUP BY table_name

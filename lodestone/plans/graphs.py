@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import fixpoint, graph, hierarchy
-from lodestone.session import cut, filled, load, norm
+from lodestone.plans.relational import IS_REPORT
+from lodestone.session import cut, filled, load, norm, reports
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "objects").where("kind = 'datawindow'").select(norm("object").alias("object")).distinct()
+    return reports(load(spark, d, "objects")).select(norm("object").alias("object")).distinct()
 
 
 
@@ -219,10 +220,10 @@ callref as (select distinct object, proc_name, string_split(to_name, '.')[-1] as
 e as (select r.object so, r.proc_name sp, r.object do_, p.proc_name dp from callref r join (select distinct object, proc_name from procs1) p on p.object = r.object and p.proc_name = r.callee
   union select object, proc_name, target_object, target_proc from calls1 where target_object is not null and target_proc is not null
   union select a.parent, m.proc_name, a.child, m.proc_name from anc a join (select distinct object, proc_name from procs1) m on m.object = a.parent join (select distinct object, proc_name from procs1) n on n.object = a.child and n.proc_name = m.proc_name),
-live as (select object, proc_name from procs1 where proc_type in ('event', 'on') union select object, proc_name from calls1 where object in (select lower(trim(object)) from objects where kind = 'datawindow')
+live as (select object, proc_name from procs1 where proc_type in ('event', 'on') union select object, proc_name from calls1 where object in (select lower(trim(object)) from objects where IS_REPORT)
   union select do_, dp from live join e on e.so = live.object and e.sp = live.proc_name),
 dead as (select distinct object, proc_name from procs1 where (object, proc_name) not in (select object, proc_name from live))
-"""
+""".replace("IS_REPORT", IS_REPORT)
 )
 _LEGS = """
 legs0 as (select distinct concat_ws(':', 'stmt:sql', translate(coalesce(file, ''), chr(9) || chr(13) || chr(10), '   '), lower(trim(object)), lower(trim(proc_name)), coalesce(line::varchar, '')) s,

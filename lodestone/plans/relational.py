@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
-from lodestone.session import load, norm, small
+from lodestone.plans import reports as report_plans
+from lodestone.plans.reports import retrieved_columns
+from lodestone.session import load, norm, reports, small
 
 
 def all_sql_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -17,10 +19,7 @@ def all_sql_tables(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "sql_statement_columns")
     operation = F.when(F.col("is_write"), "UPDATE").otherwise("SELECT")
     sql = rows.select(norm("object").alias("object"), norm("proc_name").alias("proc_name"), norm("table_name").alias("table_name"), operation.alias("operation"), F.lit("powerscript").alias("source"), "line").distinct()
-    reports = load(spark, d, "objects").where("kind = 'datawindow'").select(norm("object").alias("object")).distinct()
-    columns = load(spark, d, "catalog_columns").select(norm("table_name").alias("table_name")).distinct()
-    retrieved = reports.join(columns, F.col("object") == F.concat(F.lit("d_"), F.col("table_name")))
-    retrieve = retrieved.select("object", F.lit(None).cast("string").alias("proc_name"), "table_name", F.lit("retrieve").alias("operation"), F.lit("datawindow").alias("source"), F.lit(None).cast("int").alias("line"))
+    retrieve = retrieved_columns(spark, d).select("object", "table_name").distinct().select("object", F.lit(None).cast("string").alias("proc_name"), "table_name", F.lit("retrieve").alias("operation"), F.lit("datawindow").alias("source"), F.lit(None).cast("int").alias("line"))
     return sql.unionByName(retrieve)
 
 
@@ -61,7 +60,7 @@ def stdlib_excluded(spark: SparkSession, d: str) -> DataFrame:
 
 def search_ilike(spark: SparkSession, d: str) -> DataFrame:
     """PF7: case-insensitive search of names."""
-    return load(spark, d, "part").where(F.col("p_name").ilike("%STEEL%") | F.col("p_type").ilike("%brass%")).select("p_partkey", "p_name", "p_type")
+    return load(spark, d, "part").where(F.col("p_name").ilike("%WIDGET%") | F.col("p_type").ilike("%small%")).select("p_partkey", "p_name", "p_type")
 
 
 def regex_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -119,10 +118,10 @@ def null_safe_join(spark: SparkSession, d: str) -> DataFrame:
 
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
     """JN3, JN4, JN9: reports that no call names and no statement reads a table of."""
-    reports = load(spark, d, "objects").where("kind = 'datawindow'").select(norm("object").alias("object"), "file").distinct()
+    found = reports(load(spark, d, "objects")).select(norm("object").alias("object"), "file").distinct()
     called = load(spark, d, "resolved_calls").select(norm("target_object").alias("object"))
     tables = all_sql_tables(spark, d).select(F.col("table_name").alias("object"))
-    return reports.join(called, "object", "left_anti").join(tables, "object", "left_anti").select(F.col("object").alias("datawindow"), "file")
+    return found.join(called, "object", "left_anti").join(tables, "object", "left_anti").select(F.col("object").alias("datawindow"), "file")
 
 
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
@@ -242,9 +241,9 @@ def least_priority_leg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exactly_one(spark: SparkSession, d: str) -> DataFrame:
-    """AG15: parts that exactly one supplier delivers, with that supplier."""
-    lines = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_suppkey").alias("l_suppkey"))
-    return lines.where("n = 1").select("l_partkey", "l_suppkey")
+    """AG15: orders that exactly one supplier delivers, with that supplier."""
+    lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_suppkey").alias("l_suppkey"))
+    return lines.where("n = 1").select("l_orderkey", "l_suppkey")
 
 
 def clone_families(spark: SparkSession, d: str) -> DataFrame:
@@ -372,8 +371,8 @@ def control_types(spark: SparkSession, d: str) -> DataFrame:
 
 def libraries(spark: SparkSession, d: str) -> DataFrame:
     """Objects and kinds per library of the path."""
-    objects = load(spark, d, "objects").select(scalar.library(F.col("file")).alias("library"), norm("object").alias("object"), "kind")
-    return objects.groupBy("library").agg(F.count_distinct("object").alias("n_objects"), F.count_if(F.col("kind") == "datawindow").alias("n_reports"))
+    objects = load(spark, d, "objects").select(scalar.library(F.col("file")).alias("library"), norm("object").alias("object"), "kind", "file")
+    return objects.groupBy("library").agg(F.count_distinct("object").alias("n_objects"), F.count_if(scalar.language(F.col("kind"), F.col("file")) == "datawindow").alias("n_reports"))
 
 
 def lint(spark: SparkSession, d: str) -> DataFrame:
@@ -406,8 +405,11 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: Whether a row o of objects is a report.
+IS_REPORT = r"coalesce(nullif(lower(trim(kind)), ''), case lower(regexp_extract(file, '\.(\w+)\s*$', 1)) when 'srd' then 'datawindow' else '' end) = 'datawindow'"
 _AST = """ast as (select distinct lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, lower(trim(table_name)) as table_name, case when is_write then 'UPDATE' else 'SELECT' end as operation, 'powerscript' as source, line from sql_statement_columns
-  union all select distinct lower(trim(object)), null, t, 'retrieve', 'datawindow', null::int from objects join (select distinct lower(trim(table_name)) t from catalog_columns) on lower(trim(object)) = 'd_' || t where kind = 'datawindow')"""
+  union all select distinct object, null, table_name, 'retrieve', 'datawindow', null::int from rc)"""
+_AST = report_plans.SQL.strip() + ",\n" + _AST
 ORACLE = {
     "all_sql_tables": f"with {_AST} select * from ast",
     "project_relation": "select object, proc_name as proc, proc_type, coalesce(cyclomatic::varchar, '') as cyclomatic, lower(proc_name) as proc_lower from procs where confidence <> 'speculative'",
@@ -416,7 +418,7 @@ ORACLE = {
     "call_coupling": "select lower(trim(object)) as caller, lower(trim(target_object)) as callee, count(*) as edge_count from resolved_calls where lower(trim(object)) <> lower(trim(target_object)) and trim(target_object) <> '' group by 1, 2 having count(*) > 3 order by 3 desc, 1, 2 limit 20",
     "null_filters": "select case when ancestor is null then 'none' else 'some' end as ancestor, count(*) as n from objects group by 1",
     "stdlib_excluded": r"select file like '%.pbl/w\_%' escape '\' as is_window, count(*) as n from (select distinct file from objects) where file not like '__stdlib__/%' group by 1",
-    "search_ilike": "select p_partkey, p_name, p_type from part where p_name ilike '%STEEL%' or p_type ilike '%brass%'",
+    "search_ilike": "select p_partkey, p_name, p_type from part where p_name ilike '%WIDGET%' or p_type ilike '%small%'",
     "regex_filter": r"select file, length(lines) as n_chars from source_files where regexp_matches(lines, 'update\s+\w+_hdr\s+set', 'i')",
     "boolean_filter": "select lower(trim(table_name)) as table_name, count(*) as n from sql_statement_columns where not is_write group by 1",
     "csv_membership": "select distinct lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, len(string_split(param_names, '|'))::int as n_params from procs where list_contains(string_split(param_names, '|'), 'al_row')",
@@ -427,7 +429,7 @@ ORACLE = {
       select t.namespace, t.table_name, n_columns, count(distinct lower(trim(s.object))) as n_objects, count(*) filter (s.is_write) as n_writes from t left join sql_statement_columns s on lower(trim(s.namespace)) is not distinct from t.namespace and lower(trim(s.table_name)) = t.table_name group by 1, 2, 3""",
     "null_safe_join": """with c as (select distinct lower(trim(namespace)) n, lower(trim(table_name)) t, lower(trim(column_name)) c from catalog_columns), u as (select distinct lower(trim(namespace)) n, lower(trim(table_name)) t, lower(trim(column_name)) c from sql_statement_columns)
       select c.n as namespace, count(*) as n_columns, count(u.c) as n_used from c left join u on c.n is not distinct from u.n and c.t = u.t and c.c = u.c group by 1""",
-    "anti_join": f"with {_AST} select distinct lower(trim(o.object)) as datawindow, o.file from objects o where kind = 'datawindow' and not exists (select 1 from resolved_calls c where lower(trim(c.target_object)) = lower(trim(o.object))) and not exists (select 1 from ast a where a.table_name = lower(trim(o.object)))",
+    "anti_join": f"with {_AST} select distinct lower(trim(o.object)) as datawindow, o.file from objects o where {IS_REPORT} and not exists (select 1 from resolved_calls c where lower(trim(c.target_object)) = lower(trim(o.object))) and not exists (select 1 from ast a where a.table_name = lower(trim(o.object)))",
     "semi_join": "with p as (select distinct lower(trim(object)) o, lower(trim(proc_name)) p, proc_type from procs) select proc_type, count(*) as n from p where exists (select 1 from sql_statement_columns s where is_write and lower(trim(s.object)) = o and lower(trim(s.proc_name)) = p) group by 1",
     "either_end": "with e as (select distinct lower(trim(child)) a, lower(trim(parent)) b from type_ancestors), n as (select distinct lower(trim(object)) o from objects) select o as object, count(*) as n_edges from n join e on o = a or o = b group by 1",
     "self_join_decode": "select a.n_name as customer_nation, b.n_name as supplier_nation, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey join nation a on c_nationkey = a.n_nationkey join nation b on s_nationkey = b.n_nationkey group by 1, 2",
@@ -446,7 +448,7 @@ ORACLE = {
     "dashboard": "select " + ", ".join(f"(select count(*) from {t}) as n_{t}" for t in ("objects", "procs", "resolved_calls", "sql_statement_columns", "catalog_columns", "source_files")),
     "length_histogram": "select len(string_split(coalesce(text, ''), ' ')) as n_words, count(*) as n from documents group by 1",
     "least_priority_leg": "select l_orderkey, rank, l_linenumber, l_partkey from (select *, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end rank, row_number() over (partition by l_orderkey order by rank, l_linenumber, l_partkey, l_suppkey, l_quantity) k from lineitem) where k = 1",
-    "exactly_one": "select l_partkey, min(l_suppkey) as l_suppkey from lineitem group by 1 having count(distinct l_suppkey) = 1",
+    "exactly_one": "select l_orderkey, min(l_suppkey) as l_suppkey from lineitem group by 1 having count(distinct l_suppkey) = 1",
     "clone_families": "with s as (select distinct lower(trim(object)) o, lower(trim(proc_name)) p, coalesce(params, '') as params, coalesce(return_type, '') as return_type, cyclomatic from procs) select params, return_type, cyclomatic, count(*) as n from s group by 1, 2, 3 having count(*) > 1",
     "coverage_pct": "select split_part(file, '/', 1) as repository, count(*) as n, count(*) filter (trim(target_object) <> '') as matched, round_even(100 * (count(*) filter (trim(target_object) <> '')) / count(*), 2) as pct from resolved_calls group by 1",
     "gaps": "select user_id, event_id, covered as gap_from, ts as gap_to from (select user_id, event_id, ts, max(ts + interval 30 minute) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) covered from events) where ts > covered + interval 1 day",
@@ -465,7 +467,7 @@ ORACLE = {
     "scalar_math": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * 10 + 0.5) / 10 as round1, ceil(l_extendedprice)::bigint as ceiling, floor(l_extendedprice)::bigint as floor, l_quantity % 7 as mod7, greatest(l_quantity, 0) as max0, least(l_quantity, 30.0) as min30, ((1 << 16) | (2 << 8) | l_linenumber)::int as rgb, 0::bigint as int0 from lineitem",
     "sql_operations": r"with l as (select unnest(regexp_split_to_array(lines, '\r?\n')) line from source_files), w as (select upper(regexp_extract(trim(line), '^(\S+?);*(\s|$)', 1)) o from l) select o as operation, count(*) as n from w where o in ('SELECT','INSERT','UPDATE','DELETE','EXECUTE','DECLARE','OPEN','FETCH','CLOSE','COMMIT','ROLLBACK','CONNECT','DISCONNECT') group by 1",
     "host_variables": r"with v as (select distinct file, unnest(regexp_extract_all(lines, ':([\p{L}_0-9]+)', 1)) v from source_files) select v as variable, count(*) as n_files from v group by 1",
-    "libraries": "select list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1] as library, count(distinct lower(trim(object))) as n_objects, count(*) filter (kind = 'datawindow') as n_reports from objects group by 1",
+    "libraries": f"select list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1] as library, count(distinct lower(trim(object))) as n_objects, count(*) filter ({IS_REPORT}) as n_reports from objects group by 1",
     "lint": r"""with t as (select regexp_replace(lines, '(?s)/\*.*?\*/|//[^\n]*', '', 'g') x from source_files), s as (select unnest(regexp_extract_all(x, '(?is)(?:^|\n)\s*((?:select|update|delete)\b[^;]*;)', 1)) q from t)
       select upper(regexp_extract(q, '^(\w+)', 1)) as operation, count(*) as n, count(*) filter (regexp_matches(upper(q), '^\s*SELECT\s+\*')) as n_star, count(*) filter (regexp_matches(upper(q), '^\s*(UPDATE|DELETE)\b') and not contains(upper(q), 'WHERE')) as n_no_where from s group by 1""",
     "control_types": "with n as (select lower(split_part(trim(child), '.', 2)) n from type_ancestors) select case " + " ".join(f"when starts_with(n, '{p}') then '{k}'" for p, k in scalar.CONTROL_PREFIXES) + " end as control_type, count(*) as n from n group by 1",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
-from lodestone.plans import catalog, graphs, programs, relational
+from lodestone.plans import catalog, graphs, programs, relational, reports
 from lodestone.session import load, norm
 from lodestone.sources.script import script_facts
 
@@ -90,7 +90,7 @@ def library_detail(spark: SparkSession, d: str) -> DataFrame:
 
 def report_detail(spark: SparkSession, d: str, name: str) -> DataFrame:
     """Controls of one report by band, place; columns; arguments; what it reads."""
-    facts = catalog._reports(spark, d).where(F.col("object") == name.lower())
+    facts = reports.facts(spark, d).where(F.col("object") == name.lower())
     return facts.select("tag", "name", "value", F.col("op").alias("band"), F.expr("try_cast(other as int)").alias("x"), F.expr("try_cast(logic as int)").alias("y"), "ordinal").orderBy("tag", "band", "y", "x", "ordinal")
 
 
@@ -203,7 +203,7 @@ def proc_effects(spark: SparkSession, d: str) -> DataFrame:
 def report_footprint(spark: SparkSession, d: str) -> DataFrame:
     """How many columns each report retrieves per table, and how many of them the catalog knows."""
     known = load(spark, d, "catalog_columns").select(norm("table_name").alias("table_name"), norm("column_name").alias("column_name")).distinct().withColumn("known", F.lit(1))
-    columns = catalog._dw_columns(spark, d).select("object", "table_name", "column_name").distinct().join(known, ["table_name", "column_name"], "left")
+    columns = reports.retrieved_columns(spark, d).select("object", "table_name", "column_name").distinct().join(known, ["table_name", "column_name"], "left")
     return columns.groupBy("object", "table_name").agg(F.count("*").alias("n_columns"), F.count("known").alias("n_known"))
 
 
@@ -241,8 +241,8 @@ ORACLE = {
     "proc_effects": f"""with recursive {graphs._DEAD.split(", up as")[0]}, {graphs._PROCS}, callref as (select distinct object, proc_name, string_split(to_name, '.')[-1] as callee from calls1), m as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in EFFECTS.items())}) t(n, e)),
       e as (select r.object so, r.proc_name sp, r.object do_, p.proc_name dp from callref r join (select distinct object, proc_name from procs1) p on p.object = r.object and p.proc_name = r.callee union select object, proc_name, target_object, target_proc from calls1 where target_object is not null and target_proc is not null),
       w as (select object, proc_name, e from callref join m on n = callee union select so, sp, w.e from w join e on e.do_ = w.object and e.dp = w.proc_name) select object, proc_name, string_agg(distinct e, ',' order by e) as effects from w group by 1, 2""",
-    "report_footprint": r"""with f as (select lower(regexp_extract(file, '([^/]+)\.\w+$', 1)) o, unnest(regexp_extract_all(lines, 'dbname="([^"]+\.[^".]+)"', 1)) r from source_files where lower(file) like '%.srd'), s as (select o, lower(regexp_extract(r, '^(.+)\.[^.]+$', 1)) t, lower(regexp_extract(r, '([^.]+)$', 1)) c from f)
-      select o as object, t as table_name, count(*) as n_columns, count(*) filter (exists (select 1 from catalog_columns k where lower(trim(k.table_name)) = t and lower(trim(k.column_name)) = c)) as n_known from (select distinct * from s) s group by 1, 2""",
+    "report_footprint": f"""with {reports.SQL} select object, table_name, count(*) as n_columns, count(*) filter (exists (select 1 from catalog_columns k where lower(trim(k.table_name)) = s.table_name and lower(trim(k.column_name)) = s.column_name)) as n_known
+      from (select distinct object, table_name, column_name from rc) s group by 1, 2""",
     "search_all": """select distinct * from (select 'object' as kind, lower(trim(object)) as name, file as detail from objects where object ilike '%ledger%' union all select 'procedure', lower(trim(proc_name)), lower(trim(object)) from procs where proc_name ilike '%ledger%'
       union all select 'table', lower(trim(table_name)), lower(trim(namespace)) from catalog_columns where table_name ilike '%ledger%' union all select 'column', lower(trim(column_name)), lower(trim(table_name)) from catalog_columns where column_name ilike '%ledger%')""",
     "diagram_inheritance": f"with {graphs._LINKS} select child as src, parent as dst, 1::bigint as weight from links",

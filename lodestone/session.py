@@ -13,6 +13,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reports(objects: DataFrame) -> DataFrame:
+    """The objects that are reports: of the kind, or by their file's extension where the kind is NULL."""
+    from lodestone.functions.scalar import language
+
+    return objects.where(language(F.col("kind"), F.col("file")) == "datawindow")
+
+
 def norm(c: Column | str) -> Column:
     """A name as it is compared: lower case, without blanks at either end. NULL stays NULL."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
