@@ -105,19 +105,3 @@ def dead_variables(facts: DataFrame) -> DataFrame:
     used = facts.where("tag = 'use'").select(*key).distinct()
     made = facts.where("tag = 'def' and kind in ('local_var', 'param')").select(*key, F.when(F.col("kind") == "param", "unused_param").otherwise("never_read").alias("kind")).distinct()
     return made.join(used, key, "left_anti").select("file", "object", F.col("proc_name").alias("proc"), F.col("name").alias("var"), "kind")
-
-
-def type_mismatches(facts: DataFrame) -> DataFrame:
-    """(file, object, proc, name, family, n): returned variables whose name's prefix is of another family than the declared return type.
-
-    The declared types of variables are not in all files, so the usual prefixes stand
-    in: l and i numeric, s string, b boolean, d datetime.
-    """
-    from lodestone.functions import scalar
-
-    declared = facts.where("tag = 'proc' and kind = 'function'").select("file", "object", "proc_name", scalar.type_family(F.col("value")).alias("family"))
-    prefix = F.regexp_extract("name", r"^[aiglv]([a-z])_", 1)
-    guess = F.when(prefix.isin("l", "i"), "numeric").when(prefix == "s", "string").when(prefix == "b", "boolean").when(prefix == "d", "datetime")
-    returned = facts.where("tag = 'use' and kind = 'return'").select("file", "object", "proc_name", "name", guess.alias("used"))
-    joined = returned.join(declared, ["file", "object", "proc_name"]).where(~scalar.compatible(F.col("family"), F.col("used")))
-    return joined.groupBy("file", "object", F.col("proc_name").alias("proc"), "name", "family").agg(F.count("*").alias("n"))

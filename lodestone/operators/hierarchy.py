@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -157,9 +157,38 @@ def hierarchy(links: DataFrame) -> DataFrame:
 
 
 def descendant_pairs(tree: DataFrame) -> DataFrame:
-    """(object, descendant, distance) of the result of ``hierarchy``, from each name's path."""
-    pairs = tree.select(F.col("object").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))).alias("pos", "object"))
-    return pairs.select("object", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+    """(object, descendant, distance) of the result of ``hierarchy``, from the intervals of the chains.
+
+    An interval is the disjoint union of at most two dyadic blocks per size (a block of
+    size 2^k begins at a multiple of 2^k), and a place lies in one block of each size; so
+    equal (root, size, block) finds each pair once, without comparing any other.
+    """
+    placed = tree.where("depth >= 0").select("object", "root", "depth", "first", "last")
+    spans = placed.where("last > first").select("object", "root", F.col("depth").alias("_depth"), F.explode(_dyadic(F.col("first") + 1, F.col("last"))).alias("b"))
+    sizes = spans.select("b.k").distinct()
+    # At most 63 sizes: the places take the blocks of those that some interval has.
+    within = placed.where("depth > 0").join(F.broadcast(sizes), F.lit(True)).select(F.col("object").alias("descendant"), "root", "depth", "k", F.expr("shiftright(first, k)").alias("at"))
+    found = spans.select("object", "root", "_depth", "b.k", "b.at").join(within, ["root", "k", "at"])
+    return found.select("object", "descendant", (F.col("depth") - F.col("_depth")).alias("distance"))
+
+
+def _dyadic(first: Column, last: Column) -> Column:
+    """The dyadic blocks (k, at) that make up first .. last."""
+    none = F.array().cast("array<struct<k:int,at:bigint>>")
+    start = F.struct(first.alias("lo"), (last + 1).alias("hi"), none.alias("out"))
+
+    def step(state: Column, k: Column) -> Column:
+        # Sizes from the smallest up: an odd end gives a block of its size, the rest is halved.
+        lo, hi = state["lo"], state["hi"]
+        left = (lo < hi) & (lo % 2 == 1)
+        lo2 = F.when(left, lo + 1).otherwise(lo)
+        right = (lo2 < hi) & (hi % 2 == 1)
+        hi2 = F.when(right, hi - 1).otherwise(hi)
+        block = lambda at: F.array(F.struct(k.cast("int").alias("k"), at.alias("at")))
+        out = F.concat(state["out"], F.when(left, block(lo)).otherwise(none), F.when(right, block(hi2)).otherwise(none))
+        return F.struct(F.when(lo2 < hi2, F.floor(lo2 / 2)).otherwise(F.lit(0)).cast("bigint").alias("lo"), F.when(lo2 < hi2, F.floor(hi2 / 2)).otherwise(F.lit(0)).cast("bigint").alias("hi"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda s: s["out"])
 
 
 def below_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -127,14 +127,19 @@ def clusters(touches: DataFrame) -> DataFrame:
     return rows.groupBy("scope").applyInPandas(run, "scope string, step int, similarity double, members array<string>")
 
 
-def candidates(touches: DataFrame, writes: DataFrame, unenforced: DataFrame, reached: DataFrame, min_similarity: float = 0.7) -> DataFrame:
+def blocks_of(touches: DataFrame, min_similarity: float = 0.7) -> DataFrame:
+    """The clusters of two columns and more that are at least so similar."""
+    return clusters(touches).where((F.col("similarity") >= min_similarity) & (F.size("members") >= 2))
+
+
+def candidates(touches: DataFrame, writes: DataFrame, unenforced: DataFrame, reached: DataFrame, min_similarity: float = 0.7, blocks: DataFrame | None = None) -> DataFrame:
     """(scope, members, similarity, ritual_support, unenforced_fk, coslice_size, score): blocks of columns that might be split off a table.
 
     writes: (scope, stmt, col); unenforced: (scope, col, edge); reached: (scope, col,
     stmt), the statements that a column's coslice reaches. score is (support + keys) /
-    size, NULL if nothing is reached.
+    size, NULL if nothing is reached. blocks: the result of ``blocks``, if it is at hand.
     """
-    blocks = clusters(touches).where((F.col("similarity") >= min_similarity) & (F.size("members") >= 2))
+    blocks = blocks_of(touches, min_similarity) if blocks is None else blocks
     each = blocks.select("scope", "step", F.explode("members").alias("col"))
     pairs = affinity_pairs(writes)
     inside = each.withColumnRenamed("col", "col_a").join(each.withColumnRenamed("col", "col_b"), ["scope", "step"]).where("col_a < col_b").join(pairs, ["scope", "col_a", "col_b"])

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
-from lodestone.operators import dataflow, fixpoint, slicing, taint
+from lodestone.operators import compile as compiling
+from lodestone.operators import dataflow, fixpoint, slicing, taint, typing
 from lodestone.plans import graphs
 from lodestone.session import cut, load, norm
 from lodestone.sources.script import script_facts
@@ -51,7 +52,7 @@ def def_use(spark: SparkSession, d: str) -> DataFrame:
 def cfg_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks, edges and unreachable blocks per file."""
     facts = script_facts(load(spark, d, "source_files")).where("tag in ('block', 'edge')").groupBy("file")
-    return facts.agg(F.count_if(F.col("tag") == "block").alias("n_blocks"), F.count_if(F.col("tag") == "edge").alias("n_edges"), F.count_if(F.col("kind") == "unreachable").alias("n_unreachable"))
+    return facts.agg(F.count_if(F.col("tag") == "block").alias("n_blocks"), F.count_if(F.col("tag") == "edge").alias("n_edges"), F.count_if(F.col("kind") == "unreachable").alias("n_unreachable"), F.count_if(F.col("kind") == "const_unreachable").alias("n_ruled_out"))
 
 
 def dataflow_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +66,88 @@ def dead_variables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Returned variables of another family than the declared return type."""
-    return dataflow.type_mismatches(_facts(spark, d))
+    """Assignments, returns and arguments of another family than the declared type."""
+    facts = _facts(spark, d)
+    return typing.type_mismatches(facts, _types(spark, d, facts))
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "objects").select(norm("object").alias("name")).union(load(spark, d, "stdlib_members").select(norm("object"))).distinct()
+
+
+def _types(spark: SparkSession, d: str, facts: DataFrame) -> DataFrame:
+    return cut(typing.variable_types(facts, _classes(spark, d)))
+
+
+def variable_types(spark: SparkSession, d: str) -> DataFrame:
+    """Declared variables by scope, type and what the type is."""
+    facts = _facts(spark, d)
+    return _types(spark, d, facts).groupBy("scope", "raw_type", "family", "kind").agg(F.count("*").alias("n"))
+
+
+def declared_and_used(spark: SparkSession, d: str) -> DataFrame:
+    """How many uses and definitions of variables per repository have a declared type, and how many none."""
+    facts = _facts(spark, d)
+    rows = facts.where("tag in ('def', 'use')").select("file", "object", "proc_name", "name", "tag")
+    typed = typing._typed(rows, _types(spark, d, facts), "name", "family")
+    return typed.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).alias("repository"), "tag").agg(F.count("*").alias("n"), F.count("family").alias("n_typed"))
+
+
+def script_call_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The calls of the sources resolved over their receivers' declared types, by form and kind."""
+    facts = _facts(spark, d)
+    calls = facts.where("tag = 'call'").select("file", "object", "proc_name", "line", "name", F.col("kind").alias("receiver"))
+    calls = typing.receiver_types(calls, _types(spark, d, facts)).withColumn("call_type", F.when(F.col("receiver").isNull(), "ExCall").otherwise("ExMethodCall"))
+    declared = load(spark, d, "procs").select(norm("object").alias("owner"), norm("proc_name").alias("name"), "proc_type").union(facts.where("tag = 'proc'").select("object", "proc_name", "kind")).distinct()
+    functions, methods = builtins(spark, d)
+    found = typing.resolve_calls(calls, declared, graphs.ancestor_chain(spark, d), functions, methods)
+    return found.groupBy("call_type", F.col("resolved_kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def builtins(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(functions, methods) that are built in: the members of function_object, and those of all other classes."""
+    members = load(spark, d, "stdlib_members").select(norm("object").alias("object"), norm("proc_name").alias("name")).where("name <> ''")
+    return members.where("object = 'function_object'").select("name").distinct(), members.where("object <> 'function_object'").select("name").distinct()
+
+
+def loop_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each loop of each procedure: its header block and the blocks of its body."""
+    rows = compiling.compile_scripts(load(spark, d, "source_files")).where("tag = 'loop'")
+    return rows.select("file", "object", "proc", F.col("block").alias("header"), F.col("args").alias("body"))
+
+
+def ssa_values(spark: SparkSession, d: str) -> DataFrame:
+    """Per file, how many versions, uses, merges and phis its procedures have in SSA form."""
+    rows = compiling.compile_scripts(load(spark, d, "source_files")).groupBy("file")
+    count = lambda tag: F.count_if(F.col("tag") == tag)
+    return rows.agg(count("def").alias("n_defs"), count("use").alias("n_uses"), count("merge").alias("n_merges"), count("phi").alias("n_phis"), F.max("version").alias("max_version"))
+
+
+def instruction_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Instructions of all procedures by operation, with the number of procedures that have them."""
+    rows = compiling.compile_scripts(load(spark, d, "source_files")).where("tag = 'instr'")
+    return rows.groupBy(F.col("name").alias("operation")).agg(F.count("*").alias("n"), F.count_distinct("file", "object", "proc").alias("n_procs"))
+
+
+def proc_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Families of procedures whose instruction graphs are alike but for their names."""
+    rows = compiling.compile_scripts(load(spark, d, "source_files")).where("tag = 'shape'")
+    return rows.groupBy(F.col("name").alias("shape")).agg(F.count("*").alias("n"), F.min(F.concat_ws("::", "object", "proc")).alias("first")).where("n > 1")
+
+
+#: Operations that the compiled form keeps as instructions of their own; others need a runtime.
+_COVERED = ("def:", "use:", "call/", "sql:SELECT", "sql:UPDATE", "sql:INSERT", "sql:DELETE", "exit", "jump", "branch")
+
+
+def interpreter_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository, how many instructions and whole procedures have only operations that can be interpreted from the compiled form."""
+    rows = compiling.compile_scripts(load(spark, d, "source_files")).where("tag = 'instr'")
+    covered = F.lit(False)
+    for prefix in _COVERED:
+        covered = covered | F.col("name").startswith(prefix)
+    procs = rows.groupBy("file", "object", "proc").agg(F.count("*").alias("n"), F.count_if(covered).alias("n_covered"))
+    out = procs.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).alias("repository"))
+    return out.agg(F.sum("n").alias("n_instructions"), F.sum("n_covered").alias("n_covered"), F.count("*").alias("n_procs"), F.count_if(F.col("n") == F.col("n_covered")).alias("n_whole"))
 
 
 def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -79,8 +160,7 @@ def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     targets = known.where("callee_object <> '' and _proc = name").drop("_proc")
     calls = cut(taint.callees(calls.select("file", "object", "proc", "line", F.col("var").alias("name"), F.col("kind").alias("receiver")), declared, ancestors, targets))
     args = uses.where("kind = 'call_arg'").select("object", "proc", "line", F.split_part("value", F.lit(":"), F.lit(1)).alias("name"), F.split_part("value", F.lit(":"), F.lit(2)).cast("int").alias("ordinal"), "var")
-    place = W.partitionBy("file", "object", "proc", "line").orderBy("_at")
-    params = defs.where("kind = 'param'").withColumn("_at", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(place) - 1).select("object", "proc", "ordinal", "var").distinct()
+    params = base("param").select("object", "proc", F.col("value").cast("int").alias("ordinal"), "var").distinct()
     inter = taint.argument_edges(calls, args, params).union(taint.return_edges(calls, defs))
     return {"facts": facts, "defs": defs, "uses": uses, "procs": procs, "inter": cut(inter), "globals": cut(taint.global_uses(defs, uses, ancestors))}
 
@@ -170,7 +250,7 @@ def event_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    script_procs, script_headers, script_calls, script_sql, def_use, cfg_blocks, dataflow_facts, dead_variables, type_mismatches, interproc_edges, taint_confirmed, taint_reach_vars, taint_paths, taint_annotations, proc_summaries,
+    script_procs, script_headers, script_calls, script_sql, def_use, cfg_blocks, dataflow_facts, dead_variables, type_mismatches, variable_types, declared_and_used, script_call_resolution, loop_blocks, ssa_values, instruction_graph, proc_shapes, interpreter_coverage, interproc_edges, taint_confirmed, taint_reach_vars, taint_paths, taint_annotations, proc_summaries,
     slice_sizes, slice_walks, slice_neighbours, event_flow,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import lattice, schema
-from lodestone.session import load, norm
+from lodestone.functions import scalar
+from lodestone.operators import fixpoint, graph, lattice, schema
+from lodestone.plans import graphs
+from lodestone.session import cut, load, norm
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -46,9 +48,31 @@ def _declared(spark: SparkSession, d: str) -> DataFrame:
     return c.where("namespace is not null").select("column_name", F.col("key").alias("x")).join(bare, "column_name").select("x", "y").distinct()
 
 
+def fk_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(x, y, status) of join edges and declared keys."""
+    return schema.fk_graph(_declared(spark, d), _join_legs(spark, d))
+
+
+def schema_implied_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Join edges of the schema that no declared key has in either direction."""
+    return graph.implied_keys(_join_legs(spark, d), _declared(spark, d))
+
+
+def schema_risk(spark: SparkSession, d: str) -> DataFrame:
+    """How many columns and statements are downstream of each column in the schema graph."""
+    return graph.risk_count(graphs.reach_closure(spark, d))
+
+
+def window_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The formal concepts of windows and the tables that they use, per library."""
+    windows = load(spark, d, "objects").where(F.lower(F.trim("file")).endswith(".srw")).select(norm("object").alias("object"), scalar.library(F.col("file")).alias("scope")).distinct()
+    used = _rows(spark, d).select("object", F.concat_ws(".", "namespace", "table_name").alias("attribute")).distinct()
+    return lattice.lattice(windows.join(used, "object").select("scope", "object", "attribute"))
+
+
 def fk_graph(spark: SparkSession, d: str) -> DataFrame:
     """Join edges against declared keys: corroborated, unenforced, unused."""
-    return schema.fk_graph(_declared(spark, d), _join_legs(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return fk_edges(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def column_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +106,14 @@ def decomposition_candidates(spark: SparkSession, d: str) -> DataFrame:
     ends = edges.select(F.col("x").alias("col"), "edge").union(edges.select("y", "edge"))
     scope_of = rows.select("scope", "col").distinct()
     touches = rows.select("scope", "col", "stmt")
-    return schema.candidates(touches, rows.where("is_write").select("scope", "stmt", "col"), ends.join(scope_of, "col").select("scope", "col", "edge"), touches)
+    # The statements in the coslice of each column of a block, forward and backward.
+    blocks = cut(schema.blocks_of(touches))
+    seeds = blocks.select(F.explode("members").alias("seed")).distinct()
+    legs = cut(rows.select(F.when(F.col("is_write"), F.col("stmt")).otherwise(F.col("col")).alias("src"), F.when(F.col("is_write"), F.col("col")).otherwise(F.col("stmt")).alias("dst")).distinct())
+    ways = [fixpoint.reach(arcs, seeds, zero_hops=False).select("seed", "node") for arcs in (legs, legs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))]
+    stmts = rows.select(F.col("stmt").alias("node")).distinct()
+    reached = ways[0].union(ways[1]).join(stmts, "node", "left_semi").distinct().select(F.col("seed").alias("col"), F.col("node").alias("stmt"))
+    return schema.candidates(touches, rows.where("is_write").select("scope", "stmt", "col"), ends.join(scope_of, "col").select("scope", "col", "edge"), reached.join(scope_of, "col").select("scope", "col", "stmt"), blocks=blocks)
 
 
 def column_managers(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +157,7 @@ def lattice_concepts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    co_update, ritual_violations, fk_graph, column_usage, footprint, affinity_matrix, affinity_clusters, decomposition_candidates, column_managers, column_lineage, table_listing, namespace_resolution, schema_objects, lattice_concepts,
+    co_update, ritual_violations, fk_graph, column_usage, footprint, affinity_matrix, affinity_clusters, decomposition_candidates, column_managers, column_lineage, table_listing, namespace_resolution, schema_objects, lattice_concepts, window_tables, schema_implied_keys, schema_risk,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -146,6 +177,8 @@ g as (select x, y, case when exists (select 1 from dd where dd.x = j.x and dd.y
 ORACLE = {
     "co_update": f"with {_RITUALS} select column_a, column_b, s as co_write_support, a.k + b.k - 2 * s as n_violations from p join n a on a.col = column_a join n b on b.col = column_b where s >= 2",
     "ritual_violations": f"with {_RITUALS} select column_a, column_b, w.stmt, w.col as written_column from p join w on w.col = column_a or w.col = column_b where s >= 10 and not exists (select 1 from w o where o.stmt = w.stmt and o.col = case when w.col = column_a then column_b else column_a end)",
+    "schema_implied_keys": f"with {_FK} select x, y from g where status = 'unenforced'",
+    "schema_risk": "select x, count(*) as n from (" + graphs.ORACLE["reach_closure"] + ") group by 1",
     "fk_graph": f"with {_FK} select status, count(*) as n from g group by 1",
     "column_usage": f"""with {_R}, c as (select distinct ns, t, c from k) select ns as namespace, t as table_name, c as column_name, case when w and rd then 'read_write' when w then 'write_only' when rd then 'read_only' else 'dead' end as usage
       from (select *, exists (select 1 from r where is_write and r.ns is not distinct from c.ns and r.t = c.t and r.c = c.c) w, exists (select 1 from r where not is_write and r.ns is not distinct from c.ns and r.t = c.t and r.c = c.c) rd from c)""",

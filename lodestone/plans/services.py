@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
-from lodestone.plans import catalog, graphs, programs, relational, reports
+from lodestone.operators import bad_records, typing
+from lodestone.plans import catalog, graphs, programs, relational, reports, schemas
 from lodestone.session import load, norm
 from lodestone.sources.script import script_facts
 
@@ -131,12 +132,23 @@ def impact_of_column(spark: SparkSession, d: str, table: str, column: str | None
 
 
 def diagram_edges(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """(src, dst, weight) edges of a diagram: inheritance, calls, tables, heatmap."""
+    """(src, dst, weight) edges of a diagram: inheritance, calls, tables, heatmap, sql-lineage, table-lineage, proc-tables, fk-graph, lattice."""
     if kind == "inheritance":
         return graphs._links(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1).cast("long").alias("weight"))
     if kind == "calls":
         return graphs._object_calls(spark, d).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if kind == "fk-graph":
+        return schemas.fk_edges(spark, d).groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.count("*").alias("weight"))
+    if kind == "lattice":
+        covers = schemas.window_tables(spark, d)
+        return covers.select(F.explode("upper").alias("dst"), "scope", "concept").select(F.concat_ws(":", "scope", F.col("concept").cast("string")).alias("src"), F.concat_ws(":", "scope", F.col("dst").cast("string")).alias("dst"), F.lit(1).cast("long").alias("weight"))
     rows = relational.all_sql_tables(spark, d)
+    if kind == "sql-lineage":
+        return rows.where("source = 'powerscript'").groupBy(F.col("object").alias("src"), F.concat_ws(":", "table_name", "operation").alias("dst")).agg(F.count("*").alias("weight"))
+    if kind == "table-lineage":
+        return rows.groupBy(F.col("table_name").alias("src"), F.concat_ws(":", "source", "object", "operation").alias("dst")).agg(F.count("*").alias("weight"))
+    if kind == "proc-tables":
+        return rows.groupBy(F.concat_ws(".", "object", "proc_name").alias("src"), F.concat_ws(":", "table_name", "operation", "source").alias("dst")).agg(F.count("*").alias("weight"))
     if kind == "tables":
         return rows.groupBy(F.col("object").alias("src"), F.col("table_name").alias("dst")).agg(F.count("*").alias("weight"))
     if kind == "heatmap":
@@ -153,21 +165,12 @@ def taint_listing(spark: SparkSession, d: str, object_: str | None = None, sink_
 
 
 def call_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Calls resolved anew: own object, nearest ancestor that declares the name, a unique declaration anywhere, else unresolved."""
-    from pyspark.sql import Window as W
-
-    calls = load(spark, d, "resolved_calls").select("row_id", norm("object").alias("object"), scalar.last_dot_segment(F.trim("to_name")).alias("name"))
-    declared = load(spark, d, "procs").select(norm("object").alias("owner"), norm("proc_name").alias("name")).distinct()
-    keys = calls.select("object", "name").distinct()
-    chain = graphs.ancestor_chain(spark, d).select(F.col("child").alias("object"), F.col("parent").alias("owner"), "depth")
-    own = keys.join(declared, (keys["object"] == declared["owner"]) & (keys["name"] == declared["name"])).select("object", keys["name"], "owner", F.lit(0).alias("rank"))
-    up = keys.join(chain, "object").join(declared, ["owner", "name"]).select("object", "name", "owner", F.col("depth").alias("rank"))
-    unique = declared.groupBy("name").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1")
-    anywhere = keys.join(unique, "name").select("object", "name", "owner", F.lit(1_000_000).alias("rank"))
-    best = W.partitionBy("object", "name").orderBy("rank", "owner")
-    found = own.union(up).union(anywhere).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    kind = F.when(F.col("rank") == 0, "own").when(F.col("rank") < 1_000_000, "inherited").when(F.col("rank").isNotNull(), "unique").otherwise("unresolved")
-    return calls.join(found, ["object", "name"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Calls resolved anew: the own chain, built-in functions and methods, a single other declaration; by form and kind."""
+    calls = load(spark, d, "resolved_calls").select("row_id", norm("object").alias("object"), scalar.last_dot_segment(F.trim("to_name")).alias("name"), "call_type", F.lit(None).cast("string").alias("receiver_object"))
+    declared = load(spark, d, "procs").select(norm("object").alias("owner"), norm("proc_name").alias("name"), "proc_type")
+    functions, methods = programs.builtins(spark, d)
+    found = typing.resolve_calls(calls, declared, graphs.ancestor_chain(spark, d), functions, methods)
+    return found.groupBy("call_type", F.col("resolved_kind").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("target_object").alias("n_targets"))
 
 
 def control_overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +185,13 @@ def control_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Effects of calls of these names.
-EFFECTS = {"retrieve": "db.read", "update": "db.write", "setitem": "buffer.write", "deleterow": "buffer.write", "insertrow": "buffer.write", "messagebox": "ui", "open": "ui", "close": "ui", "settransobject": "db.connect", "dbhandle": "db.connect"}
+EFFECTS = {
+    "retrieve": "db.read", "reselectrow": "db.read", "dbcancel": "db.read", "update": "db.write", "setitem": "buffer.write", "deleterow": "buffer.write", "insertrow": "buffer.write", "rowscopy": "buffer.write", "rowsmove": "buffer.write", "rowsdiscard": "buffer.write",
+    "setfilter": "buffer.write", "setsort": "buffer.write", "importfile": "buffer.write", "importstring": "buffer.write", "sharedata": "buffer.write", "modify": "buffer.write", "getitemnumber": "buffer.read", "getitemstring": "buffer.read", "getitemdecimal": "buffer.read", "getitemdate": "buffer.read",
+    "getitemdatetime": "buffer.read", "rowcount": "buffer.read", "describe": "buffer.read", "find": "buffer.read", "messagebox": "ui", "open": "ui", "opensheet": "ui", "openwithparm": "ui", "opensheetwithparm": "ui", "opentab": "ui", "openuserobject": "ui", "close": "ui", "closeuserobject": "ui", "closewithreturn": "ui",
+    "setfocus": "ui", "setmicrohelp": "ui", "show": "ui", "hide": "ui", "popmenu": "ui", "settransobject": "db.connect", "settrans": "db.connect", "dbhandle": "db.connect", "connectdb": "db.connect", "disconnectdb": "db.connect", "run": "process", "execute": "process", "dynamiccall": "dispatch", "triggerevent": "dispatch",
+    "postevent": "dispatch", "fileopen": "file", "fileread": "file", "filewrite": "file", "fileclose": "file", "saveas": "file", "print": "file", "maillogon": "mail", "maillogoff": "mail", "mailsend": "mail",
+}
 
 
 def proc_effects(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +209,30 @@ def proc_effects(spark: SparkSession, d: str) -> DataFrame:
     return effects.select(F.split_part("node", F.lit("::"), F.lit(1)).alias("object"), F.split_part("node", F.lit("::"), F.lit(2)).alias("proc_name"), "effects")
 
 
+def capability_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Per effect, how many procedures have it, of their own or by what they call."""
+    each = proc_effects(spark, d).select(F.explode(F.split("effects", ",")).alias("capability"), "object", "proc_name")
+    return each.groupBy("capability").agg(F.count_distinct("object", "proc_name").alias("proc_count"))
+
+
+def capability_procedures(spark: SparkSession, d: str, capability: str) -> DataFrame:
+    """(object, proc_name) of the procedures with one effect."""
+    return proc_effects(spark, d).where(F.array_contains(F.split("effects", ","), capability)).select("object", "proc_name").distinct()
+
+
+def skipped_statements(spark: SparkSession, d: str) -> DataFrame:
+    """What DDL files' readers left out, per dialect and the kind of statement, the most frequent first: the coverage of their grammar."""
+    valid = bad_records.split_valid(load(spark, d, "ddl_stats_raw"))[0]
+    each = valid.select("dialect", F.explode(F.split("skipped_previews", "[|]")).alias("preview")).where(F.trim("preview") != "")
+    tag, words = F.regexp_extract("preview", r"^\s*\[([^\]]*)\]", 1), F.upper(F.regexp_extract("preview", r"^\s*(?:\[[^\]]*\])?\s*([A-Za-z]+(?:\s+[A-Za-z]+)?)", 1))
+    return each.groupBy("dialect", tag.alias("reason"), F.regexp_replace(words, r"\s+", " ").alias("statement")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dialect", "reason", "statement").limit(40)
+
+
+def footprint_of_reports(spark: SparkSession, d: str) -> DataFrame:
+    """How many columns reports retrieve, write, judge by and join, per table."""
+    return reports.footprint_arms(spark, d).groupBy("arm", "table_name").agg(F.count_distinct("object").alias("n_reports"), F.count_distinct("column_name").alias("n_columns"))
+
+
 def report_footprint(spark: SparkSession, d: str) -> DataFrame:
     """How many columns each report retrieves per table, and how many of them the catalog knows."""
     known = load(spark, d, "catalog_columns").select(norm("table_name").alias("table_name"), norm("column_name").alias("column_name")).distinct().withColumn("known", F.lit(1))
@@ -220,8 +253,8 @@ def token_coverage(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("pct", F.when(F.col("n") == 0, 0.0).otherwise(F.bround(100 * F.col("matched") / F.col("n"), 2)))
 
 
-_ALL = (uses_counts, procedure_list, library_detail, diagnostics, code_quality, explain_source, call_resolution, control_overrides, proc_effects, report_footprint, search_all, token_coverage)
-QUERIES = {f.__name__: f for f in _ALL} | {f"diagram_{k}": (lambda s, d, k=k: diagram_edges(s, d, k)) for k in ("inheritance", "calls", "tables", "heatmap")}
+_ALL = (uses_counts, procedure_list, library_detail, diagnostics, code_quality, explain_source, call_resolution, control_overrides, proc_effects, capability_catalog, skipped_statements, footprint_of_reports, report_footprint, search_all, token_coverage)
+QUERIES = {f.__name__: f for f in _ALL} | {f"diagram_{k}".replace("-", "_"): (lambda s, d, k=k: diagram_edges(s, d, k)) for k in ("inheritance", "calls", "tables", "heatmap", "sql-lineage", "table-lineage", "proc-tables", "fk-graph", "lattice")}
 QUERIES |= {"object_page": lambda s, d: object_detail(s, d, "userobject"), "column_impact": lambda s, d: impact_of_column(s, d, "tariff_hist_kideb0")}
 _LIB = "list_filter(string_split(file, '/'), lambda x: lower(x) like '%.pbl')[1]"
 ORACLE = {
@@ -234,8 +267,13 @@ ORACLE = {
       union all select 'parameters', (case when coalesce(param_names, '') = '' then 0 else len(string_split(param_names, '|')) end)::varchar, count(*) from procs group by all union all select 'calls', kind, count(*) from resolved_calls group by all""",
     "explain_source": """with p as (select distinct file, lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, start_line, end_line from procs where start_line is not null and end_line is not null), f as (select file, string_split(replace(lines, chr(13) || chr(10), chr(10)), chr(10)) l from source_files where lines is not null)
       select object, proc_name, start_line, l[start_line] as first_line, greatest(least(end_line, len(l)) - start_line + 1, 0)::int as n_lines from p join f using (file)""",
-    "call_resolution": f"""with recursive {graphs._UPMIN}, c as (select row_id, lower(trim(object)) o, lower(string_split(trim(to_name), '.')[-1]) n from resolved_calls), d as (select distinct lower(trim(object)) o, lower(trim(proc_name)) n from procs), u as (select n from d group by 1 having count(*) = 1),
-      k as (select case when exists (select 1 from d where d.o = c.o and d.n = c.n) then 'own' when exists (select 1 from anc a join d on d.o = a.parent where a.child = c.o and d.n = c.n) then 'inherited' when c.n in (select n from u) then 'unique' else 'unresolved' end kind from c) select kind, count(*) as n from k group by 1""",
+    "call_resolution": f"""with recursive {graphs._UPMIN}, c as (select row_id, lower(trim(object)) o, lower(string_split(trim(to_name), '.')[-1]) n, call_type from resolved_calls), d as (select lower(trim(object)) o, lower(trim(proc_name)) n, bool_or(proc_type in ('function', 'subroutine')) callable from procs group by 1, 2),
+      u as (select n, min(o) o from d group by 1 having count(*) = 1), b as (select distinct lower(trim(proc_name)) n, lower(trim(object)) = 'function_object' f from stdlib_members), ch as (select distinct o child, o parent, 0 depth from c union all select child, parent, depth from anc where child <> parent),
+      h as (select ch.child, d.n, d.o, depth, callable from ch join d on d.o = ch.parent), a as (select child, n, min((depth, o)) x from h group by 1, 2), k as (select child, n, min((depth, o)) x from h where callable group by 1, 2),
+      r as (select call_type, case when call_type = 'ExCall' then case when k.x is not null then k.x when c.n in (select n from b where f) then null else a.x end when call_type = 'ExCallArg' then a.x end x,
+          case when call_type = 'ExCall' then k.x is null and c.n in (select n from b where f) when call_type = 'ExMethodCall' then c.n in (select n from b where not f) else false end built, case when call_type in ('ExCall', 'ExCallArg') then u.o end uo
+        from c left join a on a.child = c.o and a.n = c.n left join k on k.child = c.o and k.n = c.n left join u on u.n = c.n)
+      select call_type, case when built then 'builtin' when x[1] > 0 then 'inherited' when x is not null or uo is not null then 'virtual' else 'unresolved' end as kind, count(*) as n, count(distinct case when not built then coalesce(x[2], uo) end) as n_targets from r group by 1, 2""",
     "control_overrides": f"""with recursive {graphs._UPMIN}, c as (select distinct split_part(lower(trim(child)), '.', 1) o, split_part(lower(trim(child)), '.', 2) n from type_ancestors where split_part(trim(child), '.', 2) <> ''),
       x as (select c.o, c.n, b.o base, depth, row_number() over (partition by c.o, c.n order by depth, b.o) k from c join anc on anc.child = c.o and anc.child <> anc.parent join c b on b.o = anc.parent and b.n = c.n) select o as owner, n as control, base, depth::int as depth from x where k = 1""",
     "proc_effects": f"""with recursive {graphs._DEAD.split(", up as")[0]}, {graphs._PROCS}, callref as (select distinct object, proc_name, string_split(to_name, '.')[-1] as callee from calls1), m as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in EFFECTS.items())}) t(n, e)),
@@ -250,3 +288,14 @@ ORACLE = {
     "diagram_tables": f"with {relational._AST} select object as src, table_name as dst, count(*) as weight from ast group by 1, 2",
     "diagram_heatmap": f"with {relational._AST}, o as (select distinct lower(trim(object)) as object, {_LIB} as library from objects) select library as src, table_name as dst, count(*) as weight from ast join o using (object) group by 1, 2",
 }
+ORACLE |= {
+    "capability_catalog": "select capability, count(distinct object || '.' || proc_name) as proc_count from (select unnest(string_split(effects, ',')) as capability, object, proc_name from (" + ORACLE["proc_effects"] + ")) group by 1",
+    "diagram_sql_lineage": f"with {relational._AST} select object as src, concat_ws(':', table_name, operation) as dst, count(*) as weight from ast where source = 'powerscript' group by 1, 2",
+    "diagram_table_lineage": f"with {relational._AST} select table_name as src, concat_ws(':', source, object, operation) as dst, count(*) as weight from ast group by 1, 2",
+    "diagram_proc_tables": f"with {relational._AST} select concat_ws('.', object, proc_name) as src, concat_ws(':', table_name, operation, source) as dst, count(*) as weight from ast group by 1, 2",
+    "diagram_fk_graph": f"with {schemas._FK} select x as src, y as dst, count(*) as weight from g group by 1, 2",
+    "object_page": f"""with recursive {graphs._UPMIN} select 'object' as section, lower(trim(object)) as name, file as detail from objects where lower(trim(object)) = 'userobject' union select 'ancestor', parent, depth::varchar from anc where child = 'userobject' union select 'procedure', lower(trim(proc_name)), proc_type from procs where lower(trim(object)) = 'userobject'
+      union select 'control', lower(trim(child)), lower(trim(parent)) from type_ancestors where lower(trim(child)) like 'userobject.%' union select 'table', lower(trim(table_name)), case when is_write then 'write' else 'read' end from sql_statement_columns where lower(trim(object)) = 'userobject'""",
+    "column_impact": f"""with recursive {graphs._UPMIN}, t as (select distinct lower(trim(object)) as object, lower(trim(proc_name)) as proc_name from sql_statement_columns where lower(trim(table_name)) = 'tariff_hist_kideb0')
+      select object, proc_name, 'DIRECT' as how from t union select child, null, 'INHERITED' from anc where parent in (select object from t) and depth <= 15""",
+}
