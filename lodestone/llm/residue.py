@@ -59,6 +59,9 @@ _SURE = re.compile(
 )
 _MAYBE = re.compile(rf"\[\[({_NAME})\]\]|<<({_NAME})>>|<your ({_NAME})>|\[({_NAME}) here\]|(?<![\w<])<({_NAME})>|(?<![\w{{$#])\{{({_NAME})\}}|(?<![\w$])\$({_NAME})\$(?![\w$])")
 
+#: What every delimiter begins with.
+_MARKS = re.compile(r"[{<\[%@$#*]|__")
+
 # Spans that quote, and code.
 _QUOTED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」", re.S)
 _INVISIBLE = re.compile("[​‌⁠﻿­]")
@@ -102,6 +105,7 @@ _REASON = re.compile(r"\b(?:%s)\b" % "|".join(sorted({re.escape(s.phrase.lower()
 _STATUS = re.compile(r"\b(?:%s)\b" % "|".join(str(int(s)) for s in HTTPStatus if s >= 400))
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _ELIDED = re.compile(r"^(?:l|d|n|j|s|m|qu)'")
 # Words of the usual filler text, words typed to fill a space.
 _LOREM = frozenset(
@@ -204,7 +208,7 @@ def signals(text: str | None) -> list[tuple[str, str, str | None]]:
 
 def _signals(text: str) -> list[tuple[str, str, str | None]]:
     found: dict[tuple[str, str, str | None], None] = {}
-    for kind, pattern in (("variable", _SURE), ("maybe", _MAYBE)):
+    for kind, pattern in (("variable", _SURE), ("maybe", _MAYBE)) if _MARKS.search(text) else ():
         for m in pattern.finditer(text):
             a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
             line = _MAYBE.sub("¤", _SURE.sub("¤", text[a : b if b >= 0 else len(text)]))
@@ -212,26 +216,45 @@ def _signals(text: str) -> list[tuple[str, str, str | None]]:
     for block in re.split(r"\n\s*\n", text):
         if not block.strip():
             continue
-        words = re.findall(r"[^\W\d_]+", block.lower())
-        if len(words) >= 4 and set(words) <= _TYPED and len(set(words)) <= 2:
+        words = _LETTERS.findall(_fold(block))
+        if len(words) >= 4 and words[0] in _TYPED and set(words) <= _TYPED and len(set(words)) <= 2:
             found[("filler", " ".join(sorted(set(words))), None)] = None
-        elif len(words) >= 5 and sum(w in _LOREM for w in words) >= 0.8 * len(words):
+        elif len(words) >= 5 and sum(map(_LOREM.__contains__, words)) >= 0.8 * len(words):
             found[("filler", "lorem ipsum", None)] = None
-        for kind, template in _page(block):
+        for kind, template in _page(block, words):
             found[(kind, template, None)] = None
     return list(found)
 
 
-def _page(block: str) -> list[tuple[str, str]]:
-    """(kind, template) of a block as a part of a page."""
+def _have(folded: str) -> set[str]:
+    """The concepts of a folded text."""
+    return set().union(*filter(None, map(concepts, _WORD.findall(folded))))
+
+
+def _says(sentence: str) -> bool:
+    """Whether a sentence names something of the code base and says something of it."""
+    return bool(_IDENTIFIER.search(sentence)) and len(_WORD.findall(_IDENTIFIER.sub(" ", sentence))) >= 3
+
+
+def _page(block: str, words: list[str]) -> list[tuple[str, str]]:
+    """(kind, template) of a block as a part of a page. words: its folded words."""
     sentences, tells = [], False
-    for sentence in _SENTENCE.split(block):
-        quotes = "“”" in sentence
-        named = bool(_IDENTIFIER.search(sentence))
-        skeleton = _skeleton(_MAYBE.sub("¤", _SURE.sub("¤", sentence)).lower()) if named or "{" in sentence or "<" in sentence or "[" in sentence else _skeleton(sentence.lower())
+    parts = _SENTENCE.split(block)
+    if _IDENTIFIER.search(block) and not _UNSPACED.search(block) and not set().union(*filter(None, map(concepts, set(words)))) >= {"text", "place"} and any(map(_says, parts)):
+        return []  # it says something, and can't be filler
+    for sentence in parts:
+        if "“”" in sentence:
+            tells = True
+            continue
+        named, folded = bool(_IDENTIFIER.search(sentence)), _fold(sentence)
+        have = _have(folded)
         # A sentence that quotes or says something of what it names is content; a name alone is a title.
-        tells = tells or quotes or (named and len(_WORD.findall(skeleton)) >= 3)
-        if not quotes and (bare := _bare(skeleton)):
+        says = named and _says(sentence)
+        tells = tells or says
+        if (says or tells) and not have >= {"text", "place"} and not _UNSPACED.search(folded):
+            continue  # filler is all that it could be
+        skeleton = _skeleton(_MAYBE.sub("¤", _SURE.sub("¤", sentence)).lower()) if named or "{" in sentence or "<" in sentence or "[" in sentence else _skeleton(sentence.lower())
+        if bare := _bare(skeleton):
             sentences.append((bare, named, *judge(_fold(bare), named, bool(_STATUS.search(sentence)))))
     strong = {bare: kind for bare, _, kind, cover, _ in sentences if kind and cover >= STRONG and not (tells and kind != "filler")}
     bare_status = len(sentences) == 1 and bool(_STATUS.fullmatch(block.strip()))
