@@ -134,7 +134,7 @@ class Table:
                 choice = self.entries.get((top, token.kind))
                 if choice is None:
                     wanted = sorted({t for n, t in self.entries if n == top}) if top in self.rules else [top]
-                    return Failure(token.line, token.kind, " ".join(wanted)[:200])
+                    return Failure(token.line, token.kind, " ".join(wanted))
                 stack.extend(choice)
         return None
 
