@@ -61,8 +61,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, pagerank) after ``rounds`` power iterations; ranks sum to 1, dangling mass is spread evenly.
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float = 0.0) -> DataFrame:
+    """(node, pagerank) after ``rounds`` power iterations, or when ranks changed by less than ``tolerance`` in sum since four rounds ago; ranks sum to 1, dangling mass is spread evenly.
 
     A rank moves along distinct edges weighted by 1 / out-degree; sums are aggregated
     map-side, so a node that everything points at is no hot task.
@@ -74,7 +74,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     arcs = cut(arcs)
-    ranks = nodes.withColumn("pagerank", F.lit(1.0 / n))
+    ranks = last = nodes.withColumn("pagerank", F.lit(1.0 / n))
     for k in range(rounds):
         loose = ranks.where("deg is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
         sent = arcs.join(ranks.select(F.col("node").alias("src"), (F.col("pagerank") / F.col("deg")).alias("part")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
@@ -82,19 +82,41 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
         ranks = got.select("node", "deg", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pagerank"))
         if k % 4 == 3:
             ranks = cut(ranks)
+            if tolerance:
+                moved = ranks.join(last.select("node", F.col("pagerank").alias("_old")), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("_old")))).first()[0]
+                if moved < tolerance:
+                    break
+            last = ranks
     return ranks.select("node", "pagerank")
 
 
-def betweenness(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: int | None = PIVOTS, seed: int = 1) -> DataFrame:
     """(node, betweenness), normalised for a directed graph; exact up to ``pivots`` nodes, from pivots chosen by hash beyond.
 
-    Counts of shortest ways go outward from all pivots together, a level per round, and
-    each node's share of them back again; a level's sums are aggregated map-side.
+    pivots None takes every node as one, PIVOTS at a time, and is exact for any size.
     """
     arcs = cut(_edges(edges, "src", "dst"))
     nodes = cut(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
     n = nodes.count()
-    chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
+    if pivots is None:
+        lots = max(-(-n // PIVOTS), 1)
+        placed = cut(nodes.withColumn("_lot", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(lots))))
+        parts = [p for k in range(lots) if (p := _dependencies(arcs, placed.where(F.col("_lot") == k).select("node"))) is not None]
+        total, used = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("part").alias("part")) if parts else None, n
+    else:
+        total, used = _dependencies(arcs, nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)), min(n, pivots)
+    if total is None:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+def _dependencies(arcs: DataFrame, chosen: DataFrame) -> DataFrame | None:
+    """(node, part): what the shortest ways from the chosen nodes (node) put on each other node; None if there are none.
+
+    Counts of shortest ways go outward from all pivots together, a level per round, and
+    each node's share of them back again; a level's sums are aggregated map-side.
+    """
     level, open_ = cut_counting(chosen.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("ways")))
     levels = []
     while open_:
@@ -109,11 +131,9 @@ def betweenness(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1) -> DataFr
         back = near.join(arcs, F.col("node") == F.col("src")).join(part, ["pivot", "dst"])
         share = cut(back.groupBy("pivot", "node").agg(F.sum(F.col("ways") * F.col("part")).alias("share")))
         shares.append(share.where("pivot <> node"))
-    scale = (n / min(n, pivots)) / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if not shares:
-        return nodes.select("node", F.lit(0.0).alias("betweenness"))
-    total = reduce(DataFrame.unionByName, shares).groupBy("node").agg(F.sum("share").alias("part"))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+        return None
+    return cut(reduce(DataFrame.unionByName, shares).groupBy("node").agg(F.sum("share").alias("part")))
 
 
 def dit(links: DataFrame) -> DataFrame:

@@ -86,6 +86,16 @@ def betweenness_pivots(spark: SparkSession, d: str) -> DataFrame:
     return graph.betweenness(_object_calls(spark, d))
 
 
+def betweenness_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Betweenness of objects in the call graph from all objects as pivots, in lots."""
+    return graph.betweenness(_object_calls(spark, d), None).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+def pagerank_settled(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank of objects in the call graph until the ranks change by less than a millionth in sum."""
+    return graph.pagerank(_object_calls(spark, d), rounds=200, tolerance=1e-6).select("node", F.round("pagerank", 6).alias("pagerank"))
+
+
 def dead_procs(spark: SparkSession, d: str) -> DataFrame:
     """Procedures that no entry reaches."""
     return graph.dead_procs(_procs(spark, d), _calls(spark, d), _links(spark, d), _reports(spark, d))
@@ -196,7 +206,7 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    ancestor_chain, ancestors_of, descendants_of, impact_inherited, inheritance_tree, dit, ego_edges, degrees, pagerank_20, betweenness_pivots, dead_procs, dead_code, live_procs, override_pairs,
+    ancestor_chain, ancestors_of, descendants_of, impact_inherited, inheritance_tree, dit, ego_edges, degrees, pagerank_20, betweenness_pivots, betweenness_exact, pagerank_settled, dead_procs, dead_code, live_procs, override_pairs,
     schema_legs, reach_closure, risk_count, coslice_lengths, coslice_paths, implied_keys, weighted_hops, effect_closure, object_metrics, fan_in,
 )
 QUERIES = {f.__name__: f for f in _ALL}

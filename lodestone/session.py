@@ -31,10 +31,15 @@ def filled(c: Column | str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder if the session names one; a local folder of our own only where none is set."""
+    """The cluster's shared folder if the session names one; a folder of our own only where none is set and all runs in one process.
+
+    On a cluster without the setting there is no folder that all executors share, so that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
@@ -60,6 +65,8 @@ def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFr
     return kept, seen.get["n"]
 
 
-def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 10_000, size: int = 8 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes as text, else as it is, so that the join shuffles."""
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df

@@ -12,7 +12,7 @@ from lodestone.functions import sqltext
 
 SCHEMA = "file string, tag string, namespace string, table_name string, column_name string, ordinal int, name string, to_namespace string, to_table string, to_column string, value string"
 #: Characters of a skipped statement that its preview keeps.
-PREVIEW = 120
+PREVIEW = 200
 _NAME = r'(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|[\w$#]+)'
 _QUALIFIED = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
 _TABLE = re.compile(rf"create\s+(?:global\s+temporary\s+|temporary\s+)?table\s+(?:if\s+not\s+exists\s+)?({_QUALIFIED})\s*\(", re.I)

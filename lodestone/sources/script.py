@@ -27,6 +27,7 @@ _NAME = r"[A-Za-z_][\w$#%-]*"
 _PROC = re.compile(rf"(?:(?:public|private|protected|global)\s+)?(?:(function)\s+(\S+)\s+|(subroutine)\s+|(event)\s+(?:type\s+\S+\s+)?)({_NAME}(?:::{_NAME})?)\s*(?:\((.*)\))?\s*$", re.I | re.S)
 _ON = re.compile(r"on\s+(\S+)$", re.I)
 _LOCAL = re.compile(rf"(?:{'|'.join(sorted(_TYPES, key=len, reverse=True))})(?:\{{\d+\}})?\s+({_NAME}.*)$", re.I | re.S)
+_OWN_TYPE = re.compile(rf"({_NAME})\s+({_NAME}(?:\s*,\s*{_NAME})*)$")
 _ASSIGN = re.compile(rf"({_NAME})(?:\[[^\]]*\])?\s*(\+=|-=|\*=|/=|=)(?!=)\s*(.*)$", re.S)
 _STEP = re.compile(rf"({_NAME})(\+\+|--)$")
 _CALL = re.compile(rf"(?:((?:{_NAME}\.)+))?({_NAME})\s*\(")
@@ -345,6 +346,8 @@ def _statement_facts(object_: str | None, proc: str, line: int, text: str, flow:
                 yield "def", object_, proc, line, found.group().lower(), "local_var", text.split()[0].split("{")[0].lower(), flow.block
                 if got := simple(value):
                     yield "assign", object_, proc, line, found.group().lower(), *got, flow.block
+    elif (m := _OWN_TYPE.match(text)) and m[1].lower() not in _WORDS and not _WORDS & set(re.split(r"\s*,\s*", m[2].lower())):
+        yield from (("def", object_, proc, line, n, "local_var", m[1].lower(), flow.block) for n in re.split(r"\s*,\s*", m[2].lower()))
     elif m := _STEP.match(text):
         yield use(m[1].lower(), "rhs")
         yield define(m[1].lower(), "inc" if m[2] == "++" else "dec")

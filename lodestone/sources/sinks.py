@@ -21,15 +21,29 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, relations: dict[str, DataFrame], path: str) -> None:
-    """All relations at once: written beside the target and renamed over it, so readers see the old or the new set."""
+    """All relations at once: written beside the target and renamed over it, so readers see the old or the new set whole.
+
+    Between the two renames there is no target for a moment; if the second fails, the old
+    set is put back and what was staged is removed.
+    """
     staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     write_relations(relations, staged)
     target, fs = _hadoop(spark, path)
     source, _ = _hadoop(spark, staged)
     aside, _ = _hadoop(spark, old)
-    if fs.exists(target):
-        fs.rename(target, aside)
-    if not fs.rename(source, target):
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        fs.delete(source, True)
+        raise OSError(f"could not set aside {path}")
+    done = False
+    try:
+        done = fs.rename(source, target)
+    finally:
+        if not done:
+            if had:
+                fs.rename(aside, target)
+            fs.delete(source, True)
+    if not done:
         raise OSError(f"could not publish {path}")
     fs.delete(aside, True)
 

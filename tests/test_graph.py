@@ -48,6 +48,19 @@ def test_betweenness(spark, edges):
     assert all(abs(got[k] - want[k]) < 1e-9 and 0 <= got[k] <= 1 for k in got)
 
 
+def test_exact_betweenness_in_lots(spark, edges, monkeypatch):
+    monkeypatch.setattr(graph, "PIVOTS", 3)
+    got = {r.node: r.betweenness for r in graph.betweenness(frame(spark, edges), None).collect()}
+    want = brandes(edges)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_pagerank_stops_when_ranks_settle(spark, edges):
+    few = {r.node: r.pagerank for r in graph.pagerank(frame(spark, edges), rounds=60, tolerance=1e-3).collect()}
+    many = {r.node: r.pagerank for r in graph.pagerank(frame(spark, edges), rounds=60).collect()}
+    assert few.keys() == many.keys() and 0 < sum(abs(few[k] - many[k]) for k in few) < 1e-2
+
+
 def test_pagerank_sums_to_one(spark, edges):
     ranks = {r.node: r.pagerank for r in graph.pagerank(frame(spark, [*edges, ("n1", "sink"), ("n2", "sink")]), rounds=12).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-9

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodestone.operators import dataflow, slicing, taint
+from lodestone.operators import dataflow, typing, slicing, taint
 from lodestone.sources.script import script_facts
 
 SOURCE = """forward
@@ -135,4 +135,11 @@ def test_callees_globals_and_statements(spark, rows):
 def test_returned_dates_are_judged(spark, rows):
     text = "global type n_a from nonvisualobject\nend type\npublic function long of_a (date ad_x);\nreturn ad_x\nend function\n"
     facts = script_facts(spark.createDataFrame([("f", text)], "file string, lines string"))
-    assert rows(dataflow.type_mismatches(facts), "name", "family") == [("ad_x", "numeric")]
+    types = typing.variable_types(facts, spark.createDataFrame([], "name string"))
+    assert rows(typing.type_mismatches(facts, types), "check", "target", "source") == [("return", "numeric", typing_family(spark, "date"))]
+
+
+def typing_family(spark, name):
+    from lodestone.functions import scalar
+
+    return spark.createDataFrame([(name,)], "t string").select(scalar.type_family(F.col("t")).alias("f")).first().f

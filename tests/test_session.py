@@ -28,3 +28,25 @@ def test_names(spark):
     df = spark.createDataFrame([(" A b ",), ("",), ("  ",), (None,)], "n string")
     assert [r.x for r in df.select(norm("n").alias("x")).collect()] == ["a b", "", "", None]
     assert [r.x for r in df.select(filled("n").alias("x")).collect()] == ["a b", None, None, None]
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.createDataFrame([("x" * 1000,)] * 20, "a string")
+    assert "broadcast" in small(wide)._jdf.queryExecution().toString().lower() and "broadcast" not in small(wide, size=5000)._jdf.queryExecution().toString().lower()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from lodestone.session import ensure_checkpoint_dir
+
+    set_to = []
+    conf = N(get=lambda k, *d: d[0] if d else None)
+    session = lambda master, named: N(sparkContext=N(getCheckpointDir=lambda: None, master=master, getConf=lambda: conf, setCheckpointDir=set_to.append), conf=N(get=lambda k, d=None: named))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("spark://host:7077", None))
+    ensure_checkpoint_dir(session("spark://host:7077", "/shared"))
+    ensure_checkpoint_dir(session("local[2]", None))
+    assert set_to[0] == "/shared" and len(set_to) == 2
