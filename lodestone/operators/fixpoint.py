@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, cut_counting
 
+#: Rounds after which what was found is written as one frame, so that a loop of any length reads few.
+TOGETHER = 8
+
 
 @dataclass(frozen=True)
 class Algebra:
@@ -100,7 +103,7 @@ def closure(edges: DataFrame, seeds: DataFrame, algebra: Algebra | None = None,
         delta, n = cut_counting(step)
         known = delta if known is None else _merge(known, delta, algebra)
         rounds += 1
-        if rounds % 8 == 0:
+        if rounds % TOGETHER == 0:
             known, _ = cut_counting(known)
     return known if known is not None else delta.limit(0)
 
@@ -123,10 +126,16 @@ def reach(edges: DataFrame, seeds: DataFrame, zero_hops: bool = True, max_rounds
             step = step.join(reduce(DataFrame.unionByName, found).select("seed", "node"), ["seed", "node"], "left_anti")
         delta, n = cut_counting(step.withColumn("hops", F.lit(rounds)))
         if n:
-            found.append(delta)
+            found = _together(found, delta)
     return reduce(DataFrame.unionByName, found) if found else delta
 
 
+def _together(found: list[DataFrame], delta: DataFrame) -> list[DataFrame]:
+    """The frames with one more; TOGETHER of them become one."""
+    found = [*found, delta]
+    return found if len(found) <= TOGETHER else [cut(reduce(DataFrame.unionByName, found).coalesce(delta.sparkSession.sparkContext.defaultParallelism))]
+
+
 def all_pairs(edges: DataFrame) -> DataFrame:
     """(seed, node, hops) from every node that has an edge, by squaring: as many rounds as the longest shortest way has binary digits.
 
@@ -156,7 +165,7 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         step = delta.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         delta, n = cut_counting(step.join(reduce(DataFrame.unionByName, found), "node", "left_anti"))
         if n:
-            found.append(delta)
+            found = _together(found, delta)
     return reduce(DataFrame.unionByName, found)
 
 

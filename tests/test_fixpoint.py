@@ -70,3 +70,12 @@ def test_empty(spark):
     assert fixpoint.reach(none, seeds, zero_hops=False).count() == 0
     assert fixpoint.all_pairs(none).count() == 0
     assert fixpoint.closure(none, seeds.limit(0)).count() == 0
+
+
+def test_long_ways_are_kept_whole(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "TOGETHER", 2)
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(9)] + [("n09", "n05")], "src string, dst string")
+    seeds = spark.createDataFrame([("n00",), ("n07",)], "seed string")
+    got = {(r.seed, r.node): r.hops for r in fixpoint.reach(edges, seeds).collect()}
+    assert got == {("n00", f"n{i:02}"): i for i in range(10)} | {("n07", "n07"): 0, ("n07", "n08"): 1, ("n07", "n09"): 2, ("n07", "n05"): 3, ("n07", "n06"): 4}
+    assert {r.node for r in fixpoint.reached(edges, seeds).collect()} == {f"n{i:02}" for i in range(10)}
