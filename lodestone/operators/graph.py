@@ -34,8 +34,13 @@ def descendants(links: DataFrame, name: str) -> DataFrame:
 
 
 def impact(links: DataFrame, direct: DataFrame, depth: int = 15) -> DataFrame:
-    """(descendant, via, depth): what inherits from each of ``direct`` (via) within ``depth`` steps, with the least depth."""
-    found = fixpoint.reach(_edges(links, "parent", "child"), direct.select(F.col("via").alias("seed")), zero_hops=False, max_rounds=depth)
+    """(descendant, via, depth): what inherits from each of ``direct`` (via) within ``depth`` steps, with the least depth.
+
+    By squaring: in a hierarchy all pairs are the names times their depth, and the rounds
+    are the logarithm of the depth; from the seeds it would be a round per level.
+    """
+    found = fixpoint.all_pairs(_edges(links, "parent", "child")).where(F.col("hops") <= depth)
+    found = found.join(direct.select(F.col("via").alias("seed")).distinct(), "seed", "left_semi")
     return found.select(F.col("node").alias("descendant"), F.col("seed").alias("via"), F.col("hops").alias("depth"))
 
 
@@ -139,7 +144,9 @@ def dit(links: DataFrame) -> DataFrame:
     """(name, dit): the greatest over all roots of the least number of steps from the root. links: (child, parent)."""
     edges = _edges(links, "parent", "child")
     roots = edges.select(F.col("src").alias("seed")).distinct().join(edges.select(F.col("dst").alias("seed")), "seed", "left_anti")
-    return fixpoint.reach(edges, roots).select(F.col("node").alias("name"), "hops").groupBy("name").agg(F.max("hops").alias("dit"))
+    # By squaring, as in ``impact``.
+    below = fixpoint.all_pairs(edges).join(roots, "seed", "left_semi").select(F.col("node").alias("name"), "hops")
+    return below.union(roots.select("seed", F.lit(0))).groupBy("name").agg(F.max("hops").alias("dit"))
 
 
 def last_segment(name: Column) -> Column:
