@@ -141,6 +141,7 @@ QUERIES = {f"canned_{n}": canned(n, **p) for n, p in _RUNS.items()} | {f.__name_
 _CS = "cs as (select file, lower(trim(object)) as object, lower(trim(proc_name)) as proc_name, lower(trim(to_name)) as to_name, call_type, line from resolved_calls)"
 ORACLE = {
     "canned_db_coverage": f"with {reports.SQL} select table_name, count(distinct object) as datawindow_count, string_agg(distinct object, ', ' order by object) as datawindows from rc group by 1",
+    "report_controls": rf"with {reports.SQL}, c as (select unnest(regexp_extract_all(lines, '(?m)^\w+\(band=\w+[^\n]* name=')) x from rf) select regexp_extract(x, 'band=(\w+)', 1) as band, regexp_extract(x, '^(\w+)', 1) as kind, count(*) as n from c group by 1, 2",
     "canned_dw": f"with {reports.SQL} select table_name, string_agg(column_name, ', ' order by column_name) as columns from (select distinct object, table_name, column_name from rc) where object = 'd_licence_kideb12' group by 1",
     "canned_sql_readers": f"with {relational._AST} select distinct object, source from ast where table_name = 'tariff_hist_kideb0' and operation in ('SELECT', 'retrieve')",
     "canned_sql_writers": f"with {relational._AST} select distinct object, proc_name, operation, source from ast where table_name = 'tariff_hist_kideb0' and operation = 'UPDATE'",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.operators import fixpoint, graph, lattice, schema
-from lodestone.plans import graphs
+from lodestone.plans import graphs, reports
 from lodestone.session import cut, load, norm
 
 
@@ -58,6 +58,24 @@ def schema_implied_keys(spark: SparkSession, d: str) -> DataFrame:
     return graph.implied_keys(_join_legs(spark, d), _declared(spark, d))
 
 
+def graph_legs(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, kind, source) of the whole schema graph: statements, what reports retrieve, write, judge by and join, and declared keys."""
+    arms = cut(reports.footprint_arms(spark, d))
+    stmt, column = F.concat_ws(":", F.lit("stmt:dw"), "file", "object"), F.concat(F.lit("col:"), F.concat_ws(".", "table_name", "column_name"))
+    right = F.concat(F.lit("col:"), F.concat_ws(".", "right_table", "right_column"))
+    ends = {"retrieve": (stmt, column, "retrieve", "dw_retrieve"), "write": (stmt, column, "writes", "dw_retrieve"), "where": (column, stmt, "reads", "dw_where"), "join": (column, right, "fk", "dw_join")}
+    out = graphs.schema_legs(spark, d).select("src", "dst", "kind", "source")
+    for arm, (src, dst, kind, source) in ends.items():
+        out = out.union(arms.where(F.col("arm") == arm).select(src, dst, F.lit(kind), F.lit(source)))
+    declared = _declared(spark, d).select(F.concat(F.lit("col:"), "x"), F.concat(F.lit("col:"), "y"), F.lit("fk"), F.lit("ddl_fk"))
+    return out.union(declared).distinct()
+
+
+def schema_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The legs of the whole schema graph by kind and source, with their ends."""
+    return graph_legs(spark, d).groupBy("kind", "source").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
+
+
 def schema_risk(spark: SparkSession, d: str) -> DataFrame:
     """How many columns and statements are downstream of each column in the schema graph."""
     return graph.risk_count(graphs.reach_closure(spark, d))
@@ -157,7 +175,7 @@ def lattice_concepts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    co_update, ritual_violations, fk_graph, column_usage, footprint, affinity_matrix, affinity_clusters, decomposition_candidates, column_managers, column_lineage, table_listing, namespace_resolution, schema_objects, lattice_concepts, window_tables, schema_implied_keys, schema_risk,
+    co_update, ritual_violations, fk_graph, column_usage, footprint, affinity_matrix, affinity_clusters, decomposition_candidates, column_managers, column_lineage, table_listing, namespace_resolution, schema_objects, lattice_concepts, window_tables, schema_graph, schema_implied_keys, schema_risk,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -177,6 +195,8 @@ g as (select x, y, case when exists (select 1 from dd where dd.x = j.x and dd.y
 ORACLE = {
     "co_update": f"with {_RITUALS} select column_a, column_b, s as co_write_support, a.k + b.k - 2 * s as n_violations from p join n a on a.col = column_a join n b on b.col = column_b where s >= 2",
     "ritual_violations": f"with {_RITUALS} select column_a, column_b, w.stmt, w.col as written_column from p join w on w.col = column_a or w.col = column_b where s >= 10 and not exists (select 1 from w o where o.stmt = w.stmt and o.col = case when w.col = column_a then column_b else column_a end)",
+    "schema_graph": f"""with {_FK}, {reports.SQL}, {graphs._LEGS}, every as (select src, dst, kind, source from legs union select concat_ws(':', 'stmt:dw', file, object), 'col:' || table_name || '.' || column_name, 'retrieve', 'dw_retrieve' from rc union select 'col:' || x, 'col:' || y, 'fk', 'ddl_fk' from dd)
+      select kind, source, count(*) as n, count(distinct src) as n_src, count(distinct dst) as n_dst from every group by 1, 2""",
     "schema_implied_keys": f"with {_FK} select x, y from g where status = 'unenforced'",
     "schema_risk": "select x, count(*) as n from (" + graphs.ORACLE["reach_closure"] + ") group by 1",
     "fk_graph": f"with {_FK} select status, count(*) as n from g group by 1",
