@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import fixpoint
+from lodestone.operators import parts as connected
 from lodestone.session import cut, cut_counting
 
 #: Exact betweenness up to so many nodes, as many pivots beyond.
@@ -259,6 +263,48 @@ def coslice(legs: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select(F.col("seed").alias("seed_key"), F.col("target").alias("target_key"), "direction", F.col("leg_ord").alias("leg_ordinal"), "leg_from", "leg_to", F.col("kind").alias("leg_kind"), F.coalesce("leg_source", F.lit("")).alias("leg_source"))
 
 
+def _ends(legs: DataFrame, seed: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """(seeds, targets): the nodes of legs that meet the conditions on ``node``."""
+    ends = legs.select(F.col("src").alias("node")).union(legs.select("dst")).where("node is not null").distinct()
+    return ends.where(seed).select(F.col("node").alias("seed")), ends.where(target)
+
+
+def _way_lengths(ways: DataFrame) -> DataFrame:
+    return ways.groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n_legs"), F.min("leg_ordinal").alias("first"), F.max("leg_ordinal").alias("last"))
+
+
+def coslice_lengths(legs: DataFrame, seed: str, target: str) -> DataFrame:
+    """(seed_key, target_key, direction, n_legs, first, last) of the ways of ``coslice``: their number of legs, the least and the greatest ordinal.
+
+    legs: (src, dst), repeated ones are harmless; seed, target: conditions on ``node``.
+    A way's legs are its distance, so they are not walked back.
+    """
+    legs = legs.select("src", "dst")
+    rows, large = connected.gather(legs)
+    rows = rows.select("*", F.expr(seed).alias("seed"), F.expr(target).alias("target"))
+
+    def run(table: pa.Table) -> Iterator[dict[str, list]]:
+        part = connected.Part(table)
+        names, goal, starts = np.array(part.names, dtype=object), part.marked(table["target"]), np.flatnonzero(part.marked(table["seed"]))
+        for direction, src, dst in (("forward", part.src, part.dst), ("backward", part.dst, part.src)):
+            walker = connected.Walker(part.n, src, dst)
+            for lot in walker.lots(starts):
+                levels, _ = walker.walk(lot)
+                cells = np.concatenate(levels[1:] or [levels[0][:0]])
+                cells = cells[goal[cells % part.n]]
+                for k in range(0, len(cells), connected.BATCH):
+                    some = cells[k : k + connected.BATCH]
+                    n = walker.hops[some].astype(np.int64)
+                    yield {"seed_key": names[lot[some // part.n]], "target_key": names[some % part.n], "direction": [direction] * len(some), "n_legs": n, "first": np.zeros(len(some), np.int32), "last": (n - 1).astype(np.int32)}
+                walker.forget(levels)
+
+    out = connected.per_bundle(rows, run, "seed_key string, target_key string, direction string, n_legs bigint, first int, last int")
+    if large is None:
+        return out
+    legs = connected.within(legs, large).select("*", F.lit("").alias("kind"), F.lit("").alias("source"))
+    return out.unionByName(_way_lengths(coslice(legs, *_ends(legs, seed, target))))
+
+
 def path_choice(legs: DataFrame) -> DataFrame:
     """Of the ways from several seeds to a target: the shorter of forward and backward (backward on ties), then the shortest seed's, the least seed on ties."""
     ways = legs.groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n"))

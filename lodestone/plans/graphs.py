@@ -123,11 +123,16 @@ def override_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _legs(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, kind, source): a statement writes a column, a column is read by a statement; keys are encoded as in the schema graph."""
+    return _leg_rows(spark, d).distinct()
+
+
+def _leg_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The legs as often as they are written."""
     rows = load(spark, d, "sql_statement_columns").where("is_write is not null")
     clean = lambda c: F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\t\r\n", "   ")
     stmt = F.concat_ws(":", F.lit("stmt:sql"), clean("file"), norm("object"), norm("proc_name"), clean("line"))
     column = F.concat(F.lit("col:"), F.concat_ws(".", norm("namespace"), norm("table_name"), norm("column_name")))
-    legs = rows.select(stmt.alias("s"), column.alias("c"), "is_write").distinct()
+    legs = rows.select(stmt.alias("s"), column.alias("c"), "is_write")
     ends = [F.when(F.col("is_write"), F.col(a)).otherwise(F.col(b)) for a, b in (("s", "c"), ("c", "s"))]
     return legs.select(ends[0].alias("src"), ends[1].alias("dst"), F.when(F.col("is_write"), "writes").otherwise("reads").alias("kind"), F.lit("sql").alias("source"))
 
@@ -150,21 +155,19 @@ def risk_count(spark: SparkSession, d: str) -> DataFrame:
     return graph.risk_count(graph.reaches(links.select(F.col("parent").alias("src"), F.col("child").alias("dst"))))
 
 
-def _coslice(spark: SparkSession, d: str) -> DataFrame:
-    legs = cut(_legs(spark, d))
-    ends = legs.select(F.col("src").alias("node")).union(legs.select("dst")).distinct()
-    return graph.coslice(legs, ends.where("node like 'col:%'").select(F.col("node").alias("seed")), ends.where("node like 'stmt:%'"))
+#: Conditions on the schema graph's nodes.
+_COLUMN, _STATEMENT = "node like 'col:%'", "node like 'stmt:%'"
 
 
 def coslice_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Per column, statement and direction, the number of legs of the shortest way in the schema graph."""
-    legs = _coslice(spark, d)
-    return legs.groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n_legs"), F.min("leg_ordinal").alias("first"), F.max("leg_ordinal").alias("last"))
+    return graph.coslice_lengths(_leg_rows(spark, d), _COLUMN, _STATEMENT)
 
 
 def coslice_paths(spark: SparkSession, d: str) -> DataFrame:
     """The legs of the way chosen to each statement over all columns."""
-    return graph.path_choice(_coslice(spark, d))
+    legs = cut(_legs(spark, d))
+    return graph.path_choice(graph.coslice(legs, *graph._ends(legs, _COLUMN, _STATEMENT)))
 
 
 def implied_keys(spark: SparkSession, d: str) -> DataFrame:
