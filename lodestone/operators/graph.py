@@ -305,6 +305,58 @@ def coslice_lengths(legs: DataFrame, seed: str, target: str) -> DataFrame:
     return out.unionByName(_way_lengths(coslice(legs, *_ends(legs, seed, target))))
 
 
+def chosen_ways(legs: DataFrame, seed: str, target: str) -> DataFrame:
+    """What ``path_choice`` takes of ``coslice``; no target may be a seed.
+
+    A target's way comes from its nearest seed, the least of those as near; so does the
+    way to each node on it. So the walk keeps a row per node, and none per seed.
+    """
+    legs = legs.select("src", "dst", "kind", "source")
+    rows, large = connected.gather(legs)
+    rows = rows.select("*", F.expr(seed).alias("seed"), F.expr(target).alias("target"))
+    schema = "seed_key string, target_key string, direction string, leg_ordinal int, leg_from string, leg_to string, leg_kind string, leg_source string"
+
+    def run(table: pa.Table) -> Iterator[dict[str, list]]:
+        part = connected.Part(table, lambda x: ({"writes": 0, "retrieve": 1}.get(x[0], 2), x[0] is not None, x[0] or "", x[1] is None, x[1] or ""))
+        n, goal, starts = part.n, np.flatnonzero(part.marked(table["target"])), np.flatnonzero(part.marked(table["seed"]))
+        near = [_nearest(n, *ends, starts) for ends in ((part.src, part.dst), (part.dst, part.src))]
+        none = np.iinfo(np.int64).max
+        rank = [np.where(hops[goal] > 0, hops[goal] * n + best[goal], none) for hops, best, _, _ in near]
+        for k, direction in enumerate(("forward", "backward")):
+            hops, best, out, to = near[k]
+            mine = goal[(rank[0] < rank[1]) if k == 0 else (rank[1] <= rank[0]) & (rank[1] < none)]
+            for pair, ordinal, a, b in connected.witnesses(n, mine, hops[mine], out, to):
+                at = mine[pair]
+                a, b, ordinal = (a, b, ordinal) if k == 0 else (b, a, hops[at] - 1 - ordinal)
+                kinds = part.kind(a, b)
+                name = lambda v: [part.names[i] for i in v]
+                yield {"seed_key": name(best[at]), "target_key": name(at), "direction": [direction] * len(at), "leg_ordinal": ordinal.astype(np.int32), "leg_from": name(a), "leg_to": name(b), "leg_kind": [x[0] for x in kinds], "leg_source": [x[1] or "" for x in kinds]}
+
+    out = connected.per_bundle(rows, run, schema)
+    if large is None:
+        return out
+    legs = connected.within(legs, large)
+    return out.unionByName(path_choice(coslice(legs, *_ends(legs, seed, target))))
+
+
+def _nearest(n: int, src: np.ndarray, dst: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hops, best, from, to): each node's distance from the starts, the least start that is as near, and the steps of the shortest ways from it."""
+    walker = connected.Walker(n, src, dst, n)
+    hops, best = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    hops[starts], best[starts] = 0, starts
+    front, legs = starts, []
+    while len(front):
+        out, to = walker.steps(front)
+        new = hops[to] < 0
+        out, to = out[new], to[new]
+        np.minimum.at(best, to, best[out])
+        hops[to] = hops[front[0]] + 1
+        same = best[out] == best[to]
+        legs.append((out[same], to[same]))
+        front = np.unique(to)
+    return hops, best, *(np.concatenate([x[k] for x in legs] or [starts[:0]]) for k in (0, 1))
+
+
 def path_choice(legs: DataFrame) -> DataFrame:
     """Of the ways from several seeds to a target: the shorter of forward and backward (backward on ties), then the shortest seed's, the least seed on ties."""
     ways = legs.groupBy("seed_key", "target_key", "direction").agg(F.count("*").alias("n"))

@@ -166,8 +166,7 @@ def coslice_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def coslice_paths(spark: SparkSession, d: str) -> DataFrame:
     """The legs of the way chosen to each statement over all columns."""
-    legs = cut(_legs(spark, d))
-    return graph.path_choice(graph.coslice(legs, *graph._ends(legs, _COLUMN, _STATEMENT)))
+    return graph.chosen_ways(_leg_rows(spark, d), _COLUMN, _STATEMENT)
 
 
 def implied_keys(spark: SparkSession, d: str) -> DataFrame:

@@ -51,6 +51,18 @@ def test_coslice_lengths_are_those_of_the_ways(spark, rows, legs, ways, monkeypa
     assert rows(got) == want and [t for _, t in got.dtypes] == ["string", "string", "string", "bigint", "int", "int"]
 
 
+@pytest.mark.parametrize("large", [100, 6])
+def test_chosen_ways_are_those_of_all_ways(spark, rows, legs, ways, monkeypatch, large):
+    columns = ["seed_key", "target_key", "direction", "leg_ordinal", "leg_from", "leg_to", "leg_kind", "leg_source"]
+    # Only some columns are seeds, so that ways are long and ties happen.
+    ends = ("node rlike '^c.[02]'", ENDS[1])
+    want = rows(graph.path_choice(ways.where("seed_key rlike '^c.[02]'")), *columns)
+    monkeypatch.setattr(parts, "LARGE", large)
+    if large == 100:
+        no_pairs(monkeypatch)
+    assert rows(graph.chosen_ways(legs, *ends), *columns) == want and any(x[3] > 1 for x in want)
+
+
 def test_gather_marks_nodes_without_edges(spark):
     node = F.struct(F.col("a").alias("a"), F.col("b").alias("b"))
     edges = spark.createDataFrame([("x", None, "y", "z")], "a string, b string, c string, d string").select(node.alias("src"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("dst"))
