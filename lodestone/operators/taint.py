@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import fixpoint
+from lodestone.operators import parts as connected
 from lodestone.session import cut
 
 NODE = "object string, proc string, var string"
@@ -177,6 +182,40 @@ def steps(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.union(walked).union(last).union(none)
 
 
+def confirmed_steps(edges: DataFrame, source_nodes: DataFrame, sink_nodes: DataFrame) -> DataFrame:
+    """What ``steps`` gives of ``confirmed``: walked forth and back within whole connected parts, without a round per hop."""
+    edges = edges.select("src", "dst", "kind")
+    starts, ends = source_nodes.select("node").distinct(), sink_nodes.select("node").distinct()
+    rows, large = connected.gather(edges, {"source": starts, "sink": ends})
+    of = f"struct<{NODE.replace(' string', ':string')}>"
+
+    def run(table: pa.Table) -> Iterator[dict[str, list]]:
+        part = connected.Part(table)
+        n, goal = part.n, part.marked(table["sink"])
+        walker = connected.Walker(n, part.src, part.dst)
+        name = lambda v: [part.names[i] for i in v]
+        for lot in walker.lots(np.flatnonzero(part.marked(table["source"]))):
+            row = lambda cells, ordinal, at, kind, lot=lot: {"source": name(lot[cells // n]), "sink": name(cells % n), "ordinal": ordinal.astype(np.int32), "at": name(at), "step_kind": kind}
+            levels, legs = walker.walk(lot)
+            found = np.concatenate(levels)
+            found = found[goal[found % n]]
+            hops = walker.hops[found].astype(np.int64)
+            walker.forget(levels)
+            same, far, hops = found[hops == 0], found[hops > 0], hops[hops > 0]
+            yield row(same, np.zeros(len(same)), lot[same // n], ["source-sink"] * len(same))
+            yield row(far, np.zeros(len(far)), lot[far // n], ["source"] * len(far))
+            yield row(far, hops + 1, far % n, ["sink"] * len(far))
+            if len(far):
+                for pair, ordinal, a, b in connected.witnesses(n, far, hops, *(np.concatenate(x) for x in zip(*legs, strict=True))):
+                    yield row(far[pair], ordinal + 1, b, [k for (k,) in part.kind(a, b)])
+
+    out = connected.per_bundle(rows, run, f"source {of}, sink {of}, ordinal int, at {of}, step_kind string")
+    if large is None:
+        return out
+    edges, starts, ends = connected.within(edges, large), starts.join(large, "node", "left_semi"), ends.join(large, "node", "left_semi")
+    return out.union(steps(edges, confirmed(edges, starts, ends)))
+
+
 def paths(step_rows: DataFrame) -> DataFrame:
     """(source_key, sink_key, n_steps, steps_json): one row per confirmed pair; quotes in names are escaped."""
     each = F.struct("ordinal", F.col("at.object").alias("object"), F.col("at.proc").alias("proc_name"), F.col("at.var").alias("var_name"), "step_kind")

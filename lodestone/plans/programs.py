@@ -196,7 +196,7 @@ def taint_reach_vars(spark: SparkSession, d: str) -> DataFrame:
 def taint_paths(spark: SparkSession, d: str) -> DataFrame:
     """One path per confirmed pair, as JSON."""
     edges, sources, sinks, _ = _taint(spark, d)
-    return taint.paths(taint.steps(edges, taint.confirmed(edges, sources, sinks)))
+    return taint.paths(taint.confirmed_steps(edges, sources, sinks))
 
 
 def taint_annotations(spark: SparkSession, d: str) -> DataFrame:

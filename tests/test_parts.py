@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, parts
+from lodestone.operators import graph, parts, taint
 from lodestone.session import cut
 
 LEGS = "src string, dst string, kind string, source string"
@@ -70,3 +70,20 @@ def test_gather_marks_nodes_without_edges(spark):
     out, large = parts.gather(edges, {"m": lone})
     assert large is None
     assert {((r.node.a, r.node.b), r.m, len(r.after)) for r in out.collect()} == {((None, "x"), True, 0), (("x", None), True, 1), (("y", "z"), False, 0)}
+
+
+@pytest.mark.parametrize("large", [100, 6])
+def test_taint_steps_are_those_of_the_rounds(spark, rows, monkeypatch, large):
+    rnd = random.Random(2)
+    node = lambda c: F.struct(F.substring(c, 1, 1).alias("object"), F.when(F.col(c) != "a0", "p").alias("proc"), F.col(c).alias("var"))
+    names = lambda group, many: [f"{group}{rnd.randrange(many)}" for _ in range(2)]
+    pairs = [(*names(g, many), rnd.choice(["def", "arg"])) for g, many in (("a", 9), ("b", 5)) for _ in range(2 * many)]
+    edges = cut(spark.createDataFrame(pairs, "s string, d string, kind string").select(node("s").alias("src"), node("d").alias("dst"), "kind"))
+    of = lambda *n: spark.createDataFrame([(x,) for x in n], "x string").select(node("x").alias("node"))
+    sources, sinks = of("a0", "a1", "b1", "z", "z"), of("a4", "a5", "a1", "b3", "z")
+    want = rows(taint.steps(edges, taint.confirmed(edges, sources, sinks)))
+    assert max(r[2] for r in want) > 2
+    monkeypatch.setattr(parts, "LARGE", large)
+    if large == 100:
+        no_pairs(monkeypatch)
+    assert rows(taint.confirmed_steps(edges, sources, sinks)) == want
