@@ -17,6 +17,8 @@ from lodestone.session import cut, cut_counting
 
 #: Exact betweenness up to so many nodes, as many pivots beyond.
 PIVOTS = 500
+#: Edges and nodes up to which exact betweenness holds the graph in each task, and cells and edges that a task works on at once.
+COMPACT, TOUCHED = 8_000_000, 8_000_000
 
 
 def _edges(links: DataFrame, src: str, dst: str) -> DataFrame:
@@ -101,12 +103,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
 def betweenness(edges: DataFrame, pivots: int | None = PIVOTS, seed: int = 1) -> DataFrame:
     """(node, betweenness), normalised for a directed graph; exact up to ``pivots`` nodes, from pivots chosen by hash beyond.
 
-    pivots None takes every node as one, PIVOTS at a time, and is exact for any size.
+    pivots None takes every node as one and is exact for any size: pivots are shared out
+    among tasks that hold the graph as arrays, or beyond COMPACT PIVOTS go at a time.
     """
-    arcs = cut(_edges(edges, "src", "dst"))
+    arcs, m = cut_counting(_edges(edges, "src", "dst"))
     nodes = cut(arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct())
     n = nodes.count()
-    if pivots is None:
+    if pivots is None and 0 < max(n, m) <= COMPACT:
+        total, used = _all_dependencies(arcs, nodes, n, seed), n
+    elif pivots is None:
         lots = max(-(-n // PIVOTS), 1)
         placed = cut(nodes.withColumn("_lot", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(lots))))
         parts = [p for k in range(lots) if (p := _dependencies(arcs, placed.where(F.col("_lot") == k).select("node"))) is not None]
@@ -144,6 +149,38 @@ def _dependencies(arcs: DataFrame, chosen: DataFrame) -> DataFrame | None:
     return cut(reduce(DataFrame.unionByName, shares).groupBy("node").agg(F.sum("share").alias("part")))
 
 
+def _all_dependencies(arcs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
+    """(node, part) as of ``_dependencies`` with all nodes chosen, which are numbered by hash, so that tasks are alike."""
+    spark = arcs.sparkSession
+    numbered = cut(nodes.select("node", (F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "node"), "node")) - 1).alias("id")))
+    ends = numbered.select(F.col("node").alias("src"), F.col("id").alias("a")), numbered.select(F.col("node").alias("dst"), F.col("id").alias("b"))
+    pairs = arcs.join(ends[0], "src").join(ends[1], "dst").select("a", "b").toArrow()
+    graph_ = spark.sparkContext.broadcast((pairs["a"].to_numpy(), pairs["b"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst = graph_.value
+        walker = connected.Walker(n, src, dst, max(TOUCHED // (n + len(src)), 1) * n)
+        ways, share, total = np.zeros(walker.lot * n), np.zeros(walker.lot * n), np.zeros(n)
+        for batch in batches:
+            for lot in walker.lots(batch["id"].to_numpy()):
+                levels, legs = walker.walk(lot)
+                ways[levels[0]] = 1
+                for out, to in legs:
+                    np.add.at(ways, to, ways[out])
+                for out, to in reversed(legs):
+                    np.add.at(share, out, ways[out] * (1 + share[to]) / ways[to])
+                share[levels[0]] = 0
+                cells = np.concatenate(levels)
+                np.add.at(total, cells % n, share[cells])
+                ways[cells] = share[cells] = 0
+                walker.forget(levels)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int32()), "part": pa.array(total[some])})
+
+    pivots = spark.range(0, n, 1, min(n, 8 * spark.sparkContext.defaultParallelism))
+    return pivots.mapInArrow(run, "id int, part double").groupBy("id").agg(F.sum("part").alias("part")).join(numbered, "id").select("node", "part")
+
+
 def dit(links: DataFrame) -> DataFrame:
     """(name, dit): the greatest over all roots of the least number of steps from the root. links: (child, parent)."""
     edges = _edges(links, "parent", "child")

@@ -55,6 +55,17 @@ def test_exact_betweenness_in_lots(spark, edges, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("compact", [100, 0])
+def test_exact_betweenness_on_arrays_and_beyond(spark, edges, monkeypatch, compact):
+    monkeypatch.setattr(graph, "COMPACT", compact)
+    monkeypatch.setattr(graph, "TOUCHED", 150)
+    if compact:  # rounds of joins over pivots times nodes took too long
+        monkeypatch.setattr(graph, "_dependencies", None)
+    got = {r.node: r.betweenness for r in graph.betweenness(frame(spark, edges), None).collect()}
+    want = brandes(edges)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_pagerank_stops_when_ranks_settle(spark, edges):
     few = {r.node: r.pagerank for r in graph.pagerank(frame(spark, edges), rounds=60, tolerance=1e-3).collect()}
     many = {r.node: r.pagerank for r in graph.pagerank(frame(spark, edges), rounds=60).collect()}
