@@ -1,7 +1,8 @@
 """References to records that do not exist, at the time of the reference.
 
 1. Keys are dictionary-encoded as integers: ``bucket << 40 | ordinal in the bucket``,
-   so numbering needs no global order.
+   so numbering needs no global order. Beside the id stand the months in which the
+   key is referred to, as bits, and its lives, so nothing is joined to the ids.
 2. References and parents become compressed bitmaps: a word of 64 neighbouring ids
    per key range and period (month), only words with a set bit being kept. A
    parent's bit is set in the periods that it spans as a whole.
@@ -9,8 +10,8 @@
 4. Only rows of surviving (key, period) are held against the lives that begin or end
    inside the period, which makes the answer exact to the microsecond.
 
-Bitmaps and distinct (key, period) pairs are pre-aggregated map-side, so a key with a
-third of all rows costs one row per task; the join back to the rows is salted.
+Bitmaps and the months of a key are pre-aggregated map-side, so a key with a third of
+all rows costs a row per task and 64 months; the join back to the rows is salted.
 """
 
 from __future__ import annotations
@@ -56,11 +57,17 @@ def always(df: DataFrame, key: Column) -> DataFrame:
     return df.select(key.alias("key"), F.lit(_BEGIN).cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("gone")).where("key is not null")
 
 
-def dictionary(keys: DataFrame) -> DataFrame:
-    """(key, id) of distinct keys: dense within each of BUCKETS hash buckets."""
-    bucketed = keys.select("key").distinct().withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
-    ordinal = F.row_number().over(W.partitionBy("_b").orderBy("key")) - 1
-    return bucketed.select("key", (F.shiftleft(F.col("_b").cast("long"), 40) + ordinal).alias("id"))
+def dictionary(refs: DataFrame, lives: DataFrame) -> DataFrame:
+    """(id, key, era, months, born, gone): all that is said of each key beside its id, which is dense within each of BUCKETS hash buckets.
+
+    A row per key and 64 months (era) of references, with the months as bits, and a row
+    per distinct life, with era NULL. refs: (key, period). lives: (key, born, gone).
+    """
+    seen = refs.groupBy("key", F.shiftright("period", 6).alias("era")).agg(F.expr("bit_or(shiftleft(1L, period & 63))").alias("months"))
+    said = seen.unionByName(lives.select("key", "born", "gone").where("key is not null").distinct(), allowMissingColumns=True)
+    said = said.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    ordinal = F.dense_rank().over(W.partitionBy("_b").orderBy("key")) - 1
+    return said.select((F.shiftleft(F.col("_b").cast("long"), 40) + ordinal).alias("id"), "key", "era", "months", "born", "gone")
 
 
 def _word() -> Column:
@@ -71,24 +78,29 @@ def _bit() -> Column:
     return F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))")
 
 
-def surviving(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """(key, period) of references to a key that doesn't span the whole period.
+def _ones(bits: str) -> Column:
+    """A row for each set bit: its place."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col(bits), i) == 1))
+
 
-    refs: (key, period), distinct. lives: (key, born, gone).
+def surviving(ids: DataFrame) -> DataFrame:
+    """(key, period, known, first_gone) of references to a key that doesn't span the whole period.
+
+    ids: as ``dictionary`` gives it. known: some life has the key; first_gone: the
+    earliest end of its lives.
     """
-    lives = lives.distinct()
-    ids = cut(dictionary(refs.select("key").union(lives.select("key"))))
-    wanted = refs.join(ids, "key").groupBy(_word(), "period").agg(_bit().alias("bits"))
+    months = ids.where("era is not null").select("id", "era", _ones("months").alias("_p"))
+    wanted = months.groupBy(_word(), (F.shiftleft("era", 6) + F.col("_p")).alias("period")).agg(_bit().alias("bits"))
     first = F.when(F.col("born") == F.date_trunc("month", "born").cast("timestamp_ntz"), _month(F.col("born"))).otherwise(_month(F.col("born")) + 1)
     until = F.coalesce(_month(F.col("gone")) - 1, F.lit(10_000 * 12))
-    spans = lives.join(ids, "key").select("id", first.alias("p0"), until.alias("p1")).where("p0 <= p1")
+    spans = ids.where("era is null").select("id", first.alias("p0"), until.alias("p1")).where("p0 <= p1")
     spans = spans.groupBy(_word().alias("w"), "p0", "p1").agg(_bit().alias("parents"))
     there = (F.col("word") == F.col("w")) & F.col("period").between(F.col("p0"), F.col("p1"))
     absent = wanted.join(spans, there, "left").groupBy("word", "period", "bits").agg(F.expr("bit_or(coalesce(parents, 0L))").alias("parents"))
     absent = absent.select("word", "period", F.expr("bits & ~parents").alias("bits")).where("bits <> 0")
-    positions = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
-    decoded = absent.select("period", F.explode(positions).alias("_p"), "word").select("period", (F.shiftleft("word", 6) + F.col("_p")).alias("id"))
-    return decoded.join(ids, "id").select("key", "period")
+    decoded = absent.select("period", _ones("bits").alias("_p"), "word").select("period", (F.shiftleft("word", 6) + F.col("_p")).alias("id"))
+    names = ids.groupBy("id").agg(F.min("key").alias("key"), F.max(F.col("era").isNull()).alias("known"), F.min("gone").alias("first_gone"))
+    return decoded.join(names, "id").drop("id")
 
 
 def orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
@@ -101,21 +113,24 @@ def orphans(refs: DataFrame, lives: DataFrame) -> DataFrame:
     with the field of the least rank; row_id is unique within src_table. A NULL key is
     no reference; at a NULL time nothing exists. Repeated rows count each; empty
     inputs give an empty result (no lives: every reference is missing).
+
+    lives are read once and refs twice: what else is asked of them is in the
+    dictionary, which keeps the plans, and the driver's memory, small.
     """
     refs = refs.where("key is not null").withColumn("at", _ts("at"))
     period = F.coalesce(_month(F.col("at")), F.lit(-1))
     refs = refs.withColumn("period", period)
-    known = lives.groupBy("key").agg(F.min("gone").alias("first_gone")).withColumn("known", F.lit(True))
-    left = surviving(refs.select("key", "period").distinct(), lives).join(known, "key", "left")
-    left = cut(left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    ids = cut(dictionary(refs, lives))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    left = cut(surviving(ids).withColumn("salt", salts))
     rows = refs.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALT)).cast("int")).join(left, ["key", "period", "salt"])
-    edges = lives.withColumn("period", F.explode(F.array_distinct(F.array_compact(F.array(_month(F.col("born")), _month(F.col("gone")))))))
-    edges = edges.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    edges = ids.where("era is null").select("key", "born", "gone", F.explode(F.array_distinct(F.array_compact(F.array(_month(F.col("born")), _month(F.col("gone")))))).alias("period"))
+    edges = edges.withColumn("salt", salts)
     r, e = rows.alias("r"), edges.alias("e")
     same = [F.col(f"r.{c}") == F.col(f"e.{c}") for c in ("key", "period", "salt")]
     alive = (F.col("e.born") <= F.col("r.at")) & (F.col("e.gone").isNull() | (F.col("e.gone") > F.col("r.at")))
     dangling = r.join(e, [*same, alive], "left_anti")
-    reason = F.when(F.col("known").isNull(), "missing").when(F.col("first_gone") <= F.col("at"), "deleted").otherwise("late")
+    reason = F.when(~F.col("known"), "missing").when(F.col("first_gone") <= F.col("at"), "deleted").otherwise("late")
     least = dangling.groupBy("src_table", "row_id").agg(F.min(F.struct("rank", "field", reason.alias("reason"), F.col("at"))).alias("x"))
     return least.select("src_table", "row_id", "x.field", "x.reason", "x.at")
 

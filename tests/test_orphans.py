@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import orphans as module
 from lodestone.operators.orphans import orphans
 
 REFS = "src_table string, row_id long, field string, rank int, key string, at timestamp_ntz"
@@ -56,3 +57,27 @@ def test_empty_inputs(spark):
     refs = spark.createDataFrame([("t", 1, "a", 1, "k", datetime(2023, 1, 1))], REFS)
     assert [r.reason for r in orphans(refs, none).collect()] == ["missing"]
     assert orphans(refs.where(F.lit(False)), none).count() == 0
+
+
+def test_many_years_and_lives_of_all_kinds(spark):
+    rnd = random.Random(5)
+    far = lambda: datetime(rnd.choice([1, 1969, 1970, 2015, 2019, 2023, 2030, 9999]), rnd.randrange(1, 13), rnd.randrange(1, 28), rnd.randrange(24))
+    lives = [(f"k{rnd.randrange(80)}", *sorted([far(), far()])) for _ in range(150)]
+    lives = [(k, b, rnd.choice([g, None])) for k, b, g in lives] + [(None, far(), None)]
+    refs = [("t", i, "a", 1, f"k{rnd.randrange(100)}", None if i % 50 == 0 else far()) for i in range(1200)]
+    got = orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES)).collect()
+    assert {(r.src_table, r.row_id): (r.field, r.reason) for r in got} == brute(refs, lives)
+    assert len(got) == len(brute(refs, lives))
+
+
+def test_lives_are_read_once_and_references_twice(spark, tmp_path, monkeypatch):
+    """Each reading adds the plan of the tables, its stages and their tasks to what the driver holds."""
+    spark.createDataFrame([("t", 1, "a", 1, "k", datetime(2023, 1, 1))], REFS).write.parquet(f"{tmp_path}/refs")
+    spark.createDataFrame([("k", datetime(2023, 1, 5), None)], LIVES).write.parquet(f"{tmp_path}/lives")
+    plans, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: plans.append(df) or cut(df))
+    out = orphans(spark.read.parquet(f"{tmp_path}/refs"), spark.read.parquet(f"{tmp_path}/lives"))
+    read = [df.inputFiles() for df in [*plans, out]]
+    assert [r.reason for r in out.collect()] == ["late"]
+    assert sum(any("/refs/" in f for f in files) for files in read) == 2
+    assert sum(any("/lives/" in f for f in files) for files in read) == 1
